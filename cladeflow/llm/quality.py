@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cladeflow.llm.suffixes import sort_suffixes
 from cladeflow.llm.textops import Words, as_column, buffer, chunks, row_sums, small_batches
 
 MIN_REPEAT = 8
@@ -41,33 +42,7 @@ def longest_repeats(codes: np.ndarray, rows: np.ndarray, ends: np.ndarray) -> np
         return np.zeros(0, np.int64)
     order = np.lexsort((codes, rows))
     same = (codes[order][1:] == codes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-    rank = np.empty(n, np.int64)  # place of the first suffix of the group in the suffix array
-    group = np.zeros(n, np.int64)
-    group[1:] = np.where(same, 0, np.arange(1, n))
-    rank[order] = np.maximum.accumulate(group)
-    tied = np.zeros(n, bool)
-    tied[1:] |= same
-    tied[:-1] |= same
-    active = order[tied]
-    levels, width = [(1, rank.copy())], 1
-    while len(active):
-        after = active + width
-        second = np.where(after < ends[active], rank[np.minimum(after, n - 1)] + 1, 0)
-        first = rank[active]
-        order = np.lexsort((second, first))
-        active, first, second = active[order], first[order], second[order]
-        new_group = np.ones(len(active), bool)
-        new_group[1:] = first[1:] != first[:-1]
-        start = np.maximum.accumulate(np.where(new_group, np.arange(len(active)), 0))
-        new = new_group.copy()
-        new[1:] |= second[1:] != second[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))
-        rank[active] = first + head - start
-        alone = new & np.append(new[1:], True)
-        active = active[~alone]
-        width *= 2
-        if len(active):
-            levels.append((width, rank.copy()))
+    rank, levels = sort_suffixes(order, same, ends)
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
     a, b = suffixes[:-1].copy(), suffixes[1:].copy()

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(table: DataFrame) -> DataFrame:
-    """The table written to the checkpoint folder and read from there: a lost executor loses none of it.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in local tests, is a
-    temporary one chosen.
-    """
-    context = table.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only where none is set, as in local tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cladeflow-"))
-    return table.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(table: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared folder and read from there.
+
+    A lost executor loses none of it, later plans know its size, and columns are read as needed.
+    """
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table made by ``cut_lineage``."""
+    spark = table.sparkSession
+    context = spark.sparkContext
+    for file in table.inputFiles():
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        return
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
