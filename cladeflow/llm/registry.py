@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeflow.llm import bpe, chat, fingerprints, jaccard, packing, quality, substrings, toxicity
+from cladeflow.llm import bpe, chat, edits, fingerprints, jaccard, packing, pseudolm, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.edited_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
