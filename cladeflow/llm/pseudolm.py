@@ -33,7 +33,7 @@ WIDTH = 8
 HIDDEN = 32
 BASE = 16
 BATCH = 4096
-ROUNDS = 2
+ROUNDS = 1
 RATE = 0.05
 FLUSH = 300_000
 SCHEMA = "doc_id long, n_words long, log_prob double, per_word double"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from cladeflow.llm import bpe, chat, edits, fingerprints, jaccard, packing, pseudolm, quality, substrings, toxicity
 
 
@@ -53,7 +54,8 @@ def op10_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {**own, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
