@@ -13,8 +13,9 @@ A document's set is its distinct word shingles. Two sets are linked when ``den *
 * Classes that share a signature meet in a bucket. Buckets with the same content are one. Within a bucket a
   set is compared with the others by odd sketches (bits that flip with each element): two sketches differ in
   no more bits than the sets differ in elements, so a pair that they rule out is not linked. Of what is left,
-  each class proposes the nearest class of another component; whole sets decide. Components are merged, and
-  rounds go on until no bucket holds an undecided pair of different components. Thus no pair within a group
+  each class proposes one class of a component with a smaller number; whole sets decide. Links thus form a
+  forest, whose roots pointer jumping finds. Rounds go on until no bucket holds an undecided pair of different
+  components. Thus no pair within a group
   is compared once the group is joined, and no link between components is missed.
 
 The rows moved are signatures (16 bytes each, equal ones of an Arrow batch merged before) and, for classes
@@ -35,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.llm.components import components
-from cladeflow.llm.storage import cut_lineage
+from cladeflow.llm.storage import cut_lineage, release
 from cladeflow.llm.textops import BYTE_CODES, Hasher, Words, as_column, buffer, chunks, mix, small_batches
 
 SHINGLE = 4
 NUM, DEN = 85, 100
 BROADCAST_ROWS = 1_000_000
+SURE = 0.75
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -165,27 +166,36 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def propose(classes: list[int], comps: list[int], sizes: list[int], sketches: list[bytes], failed: list, bands: Bands) -> list:
-    """(class, nearest class of another component that sketches do not rule out, distance) within a bucket."""
+    """(class, class of a smaller component that sketches do not rule out, rank) within a bucket.
+
+    Of the partners that differ in at most ``SURE`` of the allowed bits, that of the smallest component is
+    taken, so that a group gathers around one class; where there is none, the nearest one.
+    """
     if len(set(comps)) < 2:
         return []
     bits = [np.frombuffer(s, np.uint64) for s in sketches]
     words = min(map(len, bits))
     table = np.array([fold(b, words) for b in bits])
-    comp, size = np.array(comps), np.array(sizes)
+    number, comp, size = np.array(classes), np.array(comps), np.array(sizes)
+    order = np.lexsort((number, comp))
+    table, number, comp, size = table[order], number[order], comp[order], size[order]
     out = []
-    for i, one in enumerate(classes):
-        other = np.flatnonzero(comp != comp[i])
-        if not len(other):
+    for i in range(1, len(order)):
+        before = int(np.searchsorted(comp, comp[i]))
+        if not before:
+            continue
+        apart = np.bitwise_count(table[:before] ^ table[i]).sum(axis=1, dtype=np.int64)
+        allowed = (bands.den - bands.num) * (size[:before] + size[i]) // (bands.den + bands.num)
+        fits = apart <= allowed
+        lost = failed[order[i]]
+        if lost:
+            fits &= ~np.isin(number[:before], lost)
+        fits = np.flatnonzero(fits)
+        if not len(fits):
             continue
-        apart = np.bitwise_count(table[other] ^ table[i]).sum(axis=1, dtype=np.int64)
-        total = size[other] + size[i]
-        fits = apart <= (bands.den - bands.num) * total // (bands.den + bands.num)
-        if failed[i]:
-            fits &= ~np.isin(np.array(classes)[other], failed[i])
-        other, apart = other[fits], apart[fits]
-        if len(other):
-            best = int(np.lexsort((np.array(classes)[other], apart))[0])
-            out.append((one, classes[int(other[best])], int(apart[best])))
+        sure = fits[apart[fits] <= SURE * allowed[fits]]
+        best = int(sure[0]) if len(sure) else int(fits[np.argmin(apart[fits])])
+        out.append((int(number[i]), int(comp[i]), int(number[best]), int(comp[best]), 0 if len(sure) else 1 + int(apart[best])))
     return out
 
 
@@ -197,7 +207,7 @@ def _buckets(batches, bands: Bands):
     def done():
         rows = propose(*held, bands)
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["cls", "other", "apart"]
+            [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["cls", "comp", "other", "into", "apart"]
         )
 
     for batch in batches:
@@ -262,24 +272,44 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
     return _set_rows(docs, size, emit, "cls long, n long, sketch binary, elements binary")
 
 
-def _verify(pairs: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) by whole sets."""
+def _broadcast(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, with a broadcast hint if their number allows it."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def _verify(pairs: DataFrame, n_pairs: int, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (cls, other, ...) with whether their whole sets are linked. Only sets that occur in a pair move."""
     sets = profiles.select("cls", "elements")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b"
-    )
+    targets = pairs.select("other").distinct()
+    right = sets.join(_broadcast(targets, n_pairs), sets["cls"] == targets["other"], "left_semi")
+    left = sets.withColumnRenamed("elements", "x").join(_broadcast(pairs, n_pairs), "cls")
+    both = left.join(right.select(F.col("cls").alias("other"), F.col("elements").alias("y")), "other")
 
     def run(batches):
         for batch in batches:
             xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             hit = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(xs, ys)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(hit, pa.bool_())], ["a", "b", "linked"])
+            names = ["cls", "comp", "other", "into"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hit, pa.bool_())], [*names, "linked"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("cls", "comp", "other", "into", "x", "y").mapInArrow(
+        run, "cls long, comp long, other long, into long, linked boolean"
+    )
+
+
+def _roots(moves: DataFrame) -> DataFrame:
+    """(comp, root) for a forest (comp, into) whose links all lead to smaller numbers, by pointer jumping."""
+    moves = cut_lineage(moves)
+    while True:
+        above = moves.select(F.col("comp").alias("into"), F.col("into").alias("next"))
+        jumped = cut_lineage(moves.join(above, "into", "left").select("comp", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")))
+        moves = jumped.select("comp", "into")
+        if jumped.where("moved").isEmpty():
+            return moves.withColumnRenamed("into", "root")
 
 
 def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame | None:
-    """(node, component) of the classes that are linked with another one; None if there are none."""
+    """(node, component) of the classes that belong to another one's component; None if there are none."""
     bands = Bands(num, den)
     by_sig = Window.partitionBy("sig")
     rows = (
@@ -299,46 +329,48 @@ def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, d
     n_reps = reps.count()
     if not n_reps:
         return None
-    chosen = F.broadcast(reps.select("doc_id")) if n_reps <= BROADCAST_ROWS else reps.select("doc_id")
-    profiles = _profiles(docs.join(chosen, "doc_id", "left_semi"), size)
-    profiles = cut_lineage(profiles.join(reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    profiles = _profiles(docs.join(_broadcast(reps.select("doc_id"), n_reps), "doc_id", "left_semi"), size)
+    profiles = profiles.join(_broadcast(reps.select("cls"), n_reps), "cls", "left_semi").dropDuplicates(["cls"])
+    profiles = cut_lineage(profiles)
+    release(docs.sparkSession)
     light = profiles.select("cls", "n", "sketch")
-    links = failed = comps = None
+    comps = failed = None
     while True:
-        state = buckets
-        if comps is not None:
-            state = state.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+        state = buckets.withColumn("comp", F.col("cls"))
+        if comps is not None:  # only buckets with several components
+            state = buckets.join(_broadcast(comps, n_reps), F.col("cls") == F.col("node"), "left")
             state = state.select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
             spans = state.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
             state = state.join(spans.select("sig"), "sig", "left_semi")
-        else:
-            state = state.withColumn("comp", F.col("cls"))
         state = state.join(light, "cls")
-        if failed is not None:
-            sides = failed.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionByName(
-                failed.select(F.col("b").alias("cls"), F.col("a").alias("o"))
-            )
-            state = state.join(sides.groupBy("cls").agg(F.collect_list("o").alias("failed")), "cls", "left")
-        else:
+        if failed is None:
             state = state.withColumn("failed", F.lit(None).cast("array<bigint>"))
+        else:
+            sides = failed.unionByName(failed.select(F.col("other").alias("cls"), F.col("cls").alias("other")))
+            state = state.join(sides.groupBy("cls").agg(F.collect_set("other").alias("failed")), "cls", "left")
         proposed = (
             state.repartition("sig")
             .sortWithinPartitions("sig")
-            .mapInArrow(lambda batches: _buckets(batches, bands), "cls long, other long, apart long")
+            .mapInArrow(lambda batches: _buckets(batches, bands), "cls long, comp long, other long, into long, apart long")
         )
-        nearest = proposed.groupBy("cls").agg(F.min_by("other", F.struct("apart", "other")).alias("other"))
-        pairs = nearest.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
-        decided = cut_lineage(_verify(pairs, profiles, num, den))
-        good, bad = decided.where("linked").select("a", "b"), decided.where("not linked").select("a", "b")
-        n_good, n_all = (decided.agg(F.count_if("linked"), F.count("*")).first() or (0, 0))
-        if not n_all:
-            break
+        first = F.min_by(F.struct("comp", "other", "into"), F.struct("apart", "into", "other")).alias("p")
+        pairs = cut_lineage(proposed.groupBy("cls").agg(first).select("cls", "p.comp", "p.other", "p.into"))
+        n_pairs = pairs.count()
+        if not n_pairs:
+            return comps
+        decided = cut_lineage(_verify(pairs, n_pairs, profiles, num, den))
+        bad = decided.where("not linked").select("cls", "other")
         failed = bad if failed is None else cut_lineage(failed.unionByName(bad))
-        if n_good:
-            links = good if links is None else links.unionByName(good)
-            comps = cut_lineage(components(links))
-            links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return comps
+        moves = decided.where("linked").groupBy("comp").agg(F.min("into").alias("into"))
+        roots = _roots(moves)
+        if comps is None:
+            comps = roots.select(F.col("comp").alias("node"), F.col("root").alias("component"))
+        else:
+            # classes of moved components follow them; components that were a class alone come in
+            old = comps.join(roots, comps["component"] == roots["comp"], "left").select("node", F.coalesce("root", "component").alias("component"))
+            fresh = roots.join(comps, roots["comp"] == comps["node"], "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("component"))
+            comps = cut_lineage(old.unionByName(fresh))
+        release(docs.sparkSession)
 
 
 def join_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
