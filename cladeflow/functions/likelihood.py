@@ -18,7 +18,7 @@ from cladeflow.functions.trees import DEFAULT_LENGTH, Tree
 PROTEIN_SYMBOLS = "ACDEFGHIKLMNPQRSTVWY-XBZ"
 SHORTEST, LONGEST, USUAL = 1e-4, 100.0, 0.1
 SMOOTHINGS, TOLERANCE = 32, 0.1
-SECTIONS = 12
+SECTIONS = 7
 
 
 def alphabet(states: int) -> str:
@@ -166,63 +166,88 @@ class Reference:
             same = same * tip
         return (same * self.freqs) @ table.T
 
+    def _blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Eigenvectors and inverse of all categories as one matrix, and the exponents of a unit of length."""
+        n = len(self.rates)
+        return np.kron(np.eye(n), self.vectors), np.kron(np.eye(n), self.inverse), np.outer(self.rates, self.values).ravel()
+
     def thorough(self, edge: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logl, distal, pendant) at the best place on an edge, of several sequences at once.
 
-        The pendant length by Newton's method, the distal length by golden section, in turns until the
-        log-likelihood gains less than ``TOLERANCE``; a turn that makes it worse is undone.
+        All sequences are scored on a small grid of places by one matrix product; from its best point the
+        pendant length is improved by Newton's method and the distal length by golden section, in turns,
+        until the log-likelihood gains less than ``TOLERANCE``; a turn that makes it worse is undone.
         """
         table, mask = tip_table(self.states), valid_sites(codes, self.states)
-        tips = table[codes] @ self.inverse.T  # in the basis of the eigenvectors
-        lower, upper, scale = self.lower[edge] @ self.inverse.T, self.upper[edge] @ self.inverse.T, self.scale[edge]
+        n, n_cat = len(codes), len(self.rates)
+        vectors, inverse, turn = self._blocks()
+        lower = self.lower[edge].reshape(self.width, -1) @ inverse.T
+        upper = self.upper[edge].reshape(self.width, -1) @ inverse.T
+        scale, length = self.scale[edge], float(self.lengths[edge])
+        tips = np.tile(table @ self.inverse.T, n_cat)[codes]  # in the basis of the eigenvectors
         shared = self._shared(table)
+        weight = np.repeat(self.weights, self.states) * np.tile(self.freqs, n_cat)
         invariant = np.take_along_axis(shared, codes.astype(np.int64).T, axis=1).T if self.model.pinv else None
-        length, n = float(self.lengths[edge]), len(codes)
-        turn = np.outer(self.rates, self.values)
+        edge_of = min(SHORTEST / 2, length / 2)
 
         def middle(distal: np.ndarray) -> np.ndarray:
-            a = np.exp(distal[:, None, None] * turn)[:, None] * lower
-            b = np.exp((length - distal)[:, None, None] * turn)[:, None] * upper
-            return (a @ self.vectors.T) * (b @ self.vectors.T) * self.freqs
-
-        def table_of(distal: np.ndarray) -> np.ndarray:
-            return (middle(distal) @ self.vectors) * tips[:, :, None, :] * self.weights[:, None]
-
-        def logl(summed: np.ndarray, pendant: np.ndarray) -> np.ndarray:
-            sites = (summed * np.exp(pendant[:, None, None] * turn)[:, None]).sum(axis=(2, 3))
-            return np.where(mask, self._site_logs(sites, scale, invariant), 0.0).sum(axis=1)
-
-        distal, pendant = np.full(n, length / 2), np.full(n, DEFAULT_LENGTH)
-        summed = table_of(distal)
-        best = logl(summed, pendant)
-        active = np.ones(n, bool)
+            """(place, site, state) likelihoods of the rest of the tree at places on the edge."""
+            a = np.exp(distal[:, None] * turn)[:, None, :] * lower
+            b = np.exp((length - distal)[:, None] * turn)[:, None, :] * upper
+            size = vectors.shape[0]
+            a, b = a.reshape(-1, size) @ vectors.T, b.reshape(-1, size) @ vectors.T
+            return ((a * b * weight) @ vectors).reshape(len(distal), -1, size)
+
+        def logl(summed: np.ndarray, pendant: np.ndarray, own: np.ndarray) -> np.ndarray:
+            sites = np.einsum("nsk,nk->ns", summed, np.exp(pendant[:, None] * turn))
+            logs = self._site_logs(sites, scale, None if invariant is None else invariant[own])
+            return np.where(mask[own], logs, 0.0).sum(axis=1)
+
+        def score(distal: np.ndarray, pendant: np.ndarray, own: np.ndarray) -> np.ndarray:
+            return logl(middle(distal) * tips[own], pendant, own)
+
+        # the grid: shares of the edge by pendant lengths
+        places = edge_of + (length - 2 * edge_of) * np.linspace(0, 1, 7)
+        pendants = np.append(DEFAULT_LENGTH, np.geomspace(SHORTEST, 3.0, 13))
+        at_tip = np.exp(pendants[:, None] * turn)[:, None, :] * np.tile(table @ self.inverse.T, n_cat)
+        likelihood = np.einsum("dsk,pck->scdp", middle(places), at_tip)
+        logs = self._site_logs(likelihood, scale[:, None, None, None], shared[:, :, None, None])
+        hot = np.zeros((n, self.width, len(table)))
+        np.put_along_axis(hot, codes[:, :, None].astype(np.int64), 1.0, axis=2)
+        hot *= mask[:, :, None]
+        found = (hot.reshape(n, -1) @ logs.reshape(self.width * len(table), -1)).argmax(axis=1)
+        distal, pendant = places[found // len(pendants)], pendants[found % len(pendants)]
+        gap = (length - 2 * edge_of) / 6
+        every = np.arange(n)
+        best, own = score(distal, pendant, every), every
         for _ in range(SMOOTHINGS):
-            new_pendant = self._newton(summed, pendant, mask, turn, scale, invariant)
-            low, high = np.full(n, min(SHORTEST / 2, length / 2)), np.full(n, length - min(SHORTEST / 2, length / 2) / 10)
+            summed = middle(distal[own]) * tips[own]
+            new_pendant = self._newton(summed, pendant[own], mask[own], turn, scale, None if invariant is None else invariant[own])
+            low = np.maximum(distal[own] - gap, edge_of)
+            high = np.minimum(distal[own] + gap, length - edge_of / 10)
             golden = (5**0.5 - 1) / 2
             x1, x2 = high - golden * (high - low), low + golden * (high - low)
-            f1, f2 = logl(table_of(x1), new_pendant), logl(table_of(x2), new_pendant)
+            f1, f2 = score(x1, new_pendant, own), score(x2, new_pendant, own)
             for _ in range(SECTIONS):
                 left = f1 > f2
                 low, high = np.where(left, low, x1), np.where(left, x2, high)
                 fresh = np.where(left, high - golden * (high - low), low + golden * (high - low))
-                f = logl(table_of(fresh), new_pendant)
+                f = score(fresh, new_pendant, own)
                 x1, x2, f1, f2 = (
                     np.where(left, fresh, x2),
                     np.where(left, x1, fresh),
                     np.where(left, f, f2),
                     np.where(left, f1, f),
                 )
-            new_distal = np.where(f1 > f2, x1, x2)
-            new_summed = table_of(new_distal)
-            now = logl(new_summed, new_pendant)
-            better = active & (now > best)
-            gain = now - best
-            distal, pendant = np.where(better, new_distal, distal), np.where(better, new_pendant, pendant)
-            best = np.where(better, now, best)
-            summed = np.where(better[:, None, None, None], new_summed, summed)
-            active = better & (gain >= TOLERANCE)
-            if not active.any():
+            new_distal, now = np.where(f1 > f2, x1, x2), np.maximum(f1, f2)
+            # the middle that was there before may still be the better one
+            stay = logl(summed, new_pendant, own)
+            new_distal, now = np.where(stay >= now, distal[own], new_distal), np.maximum(stay, now)
+            gain = now - best[own]
+            better = gain > 0
+            distal[own[better]], pendant[own[better]], best[own[better]] = new_distal[better], new_pendant[better], now[better]
+            own = own[better & (gain >= TOLERANCE)]
+            if not len(own):
                 break
         return best, distal, pendant
 
@@ -230,23 +255,27 @@ class Reference:
         """Best pendant lengths, by Newton's method kept within a bracket of the derivative's sign."""
         x = np.where((start < SHORTEST) | (start > LONGEST), USUAL, start)
         low, high = np.full(len(x), SHORTEST), np.full(len(x), LONGEST)
+        live = np.arange(len(x))
         for _ in range(30):
-            part = summed * np.exp(x[:, None, None] * turn)[:, None]
-            f = np.maximum(part.sum(axis=(2, 3)), 1e-300)
-            d1, d2 = (part * turn).sum(axis=(2, 3)), (part * turn * turn).sum(axis=(2, 3))
+            part = np.exp(x[live][:, None] * turn)
+            own = summed[live]
+            f = np.maximum(np.einsum("nsk,nk->ns", own, part), 1e-300)
+            d1, d2 = np.einsum("nsk,nk->ns", own, part * turn), np.einsum("nsk,nk->ns", own, part * turn * turn)
             if invariant is not None:
                 p = self.model.pinv
-                f = (1 - p) * f + p * invariant * np.exp(-scale)
+                f = (1 - p) * f + p * invariant[live] * np.exp(-scale)
                 d1, d2 = (1 - p) * d1, (1 - p) * d2
-            slope = np.where(mask, d1 / f, 0).sum(axis=1)
-            bend = np.where(mask, d2 / f - (d1 / f) ** 2, 0).sum(axis=1)
-            low, high = np.where(slope > 0, x, low), np.where(slope > 0, high, x)
-            step = np.where(bend < 0, x - slope / np.where(bend < 0, bend, 1), -1)
-            inside = (step > low) & (step < high)
-            new = np.where(inside, step, np.sqrt(low * high))
-            if (np.abs(new - x) < SHORTEST / 10).all():
-                return new
-            x = new
+            slope = np.where(mask[live], d1 / f, 0).sum(axis=1)
+            bend = np.where(mask[live], d2 / f - (d1 / f) ** 2, 0).sum(axis=1)
+            low[live], high[live] = np.where(slope > 0, x[live], low[live]), np.where(slope > 0, high[live], x[live])
+            step = np.where(bend < 0, x[live] - slope / np.where(bend < 0, bend, 1), -1)
+            inside = (step > low[live]) & (step < high[live])
+            new = np.where(inside, step, np.sqrt(low[live] * high[live]))
+            moved = np.abs(new - x[live]) >= np.maximum(SHORTEST / 10, 1e-3 * x[live])
+            x[live] = new
+            live = live[moved]
+            if not len(live):
+                break
         return x
 
 

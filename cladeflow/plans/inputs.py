@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 WIDTH = 64
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
+HEX = "0123456789abcdef"
 CHUNKS = 100_000  # ids left for the chunks of one text
 
 
@@ -63,11 +64,11 @@ pairs AS (
 
 
 def edge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sequences and a length for each edge, from the nations: (edge, lower, upper, length)."""
+    """Two sequences and a length for each edge, from digests of names: (edge, lower, upper, length)."""
 
     def bases(c):
-        text = F.translate(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), LETTERS, BASES)
-        return F.substring(F.repeat(text, WIDTH), 1, WIDTH)
+        digits = F.concat(F.md5(c.cast("binary")), F.md5(F.concat(c, F.lit("+")).cast("binary")))
+        return F.translate(digits, HEX, "ACGT" * 4)
 
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     both = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -82,8 +83,8 @@ def edge_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = f"""
 edges AS (
   SELECT n_nationkey::BIGINT AS edge,
-    substr(repeat(translate(upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}'), {WIDTH}), 1, {WIDTH}) AS lower,
-    substr(repeat(translate(upper(regexp_replace(r_name || n_name, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}'), {WIDTH}), 1, {WIDTH}) AS upper,
+    translate(md5(n_name) || md5(n_name || '+'), '{HEX}', '{"ACGT" * 4}') AS lower,
+    translate(md5(r_name || n_name) || md5(r_name || n_name || '+'), '{HEX}', '{"ACGT" * 4}') AS upper,
     (n_nationkey + 1) / 50e0 AS length
   FROM nation JOIN region ON n_regionkey = r_regionkey
 )"""
