@@ -1,0 +1,341 @@
+"""Operators on DataFrames: brute force on a small table, and the odd cases every one of them must take."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cladeflow.llm import bpe, chat, edits, fingerprints, jaccard, packing, pseudolm, quality, registry, substrings, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part long, row long, comp long, sig long"
+TIKTOKEN = registry.public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = registry.public_tokenizers.path("byte_bpe_50k.json")
+
+
+def corpus(seed=1, n=150):
+    rng = random.Random(seed)
+    vocabulary = ["w%d" % i for i in range(400)]
+    prose = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    shared = prose(60)
+    texts = [None, "", " \n ", "a", "A a A", "one two three", "one two three four"]
+    while len(texts) < n:
+        kind = rng.random()
+        if kind < 0.25 and len(texts) > 20:
+            words = (texts[rng.randrange(8, len(texts))] or "x").split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+        elif kind < 0.4:
+            texts.append(prose(rng.randint(0, 40)) + " " + shared + "\n" + prose(rng.randint(5, 40)))
+        else:
+            texts.append(prose(rng.choice([3, 12, 30, 80, 300])))
+    texts.append(prose(9000))
+    texts.append("loop the loop and on we go " * 40)
+    rng.shuffle(texts)
+    return [(3 * i, t) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), 0, 0, 0, 0) for i, t in corpus()]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def as_dict(rows, *names):
+    return {r["doc_id"]: tuple(r[n] for n in names) for r in rows.collect()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_fingerprint_edits(docs):
+    rows = sorted(corpus(), reverse=True)
+    found = as_dict(fingerprints.fingerprint_edits(docs, rows_per_part=11), "n_chars", "edited_sha256", "near_edited", "near_next", "fingerprint")
+    assert len(found) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1] or ""
+        text = text or ""
+        n_chars, digest, near, _, own = found[i]
+        assert n_chars == len(text) and digest == sha(fingerprints.edited(text, following))
+        assert own == fingerprints.Anchors.of([text]).strings()[0]
+        if len(text) > 300:
+            assert near > 0.4
+
+
+def test_single_row_follows_itself(spark):
+    one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
+    r = fingerprints.fingerprint_edits(one).first()
+    assert r["edited_sha256"] == sha("abcd" + "ab") and r["near_next"] == 1.0
+
+
+def test_substring_removal(docs):
+    seen, want = set(), {}
+    for i, text in corpus():
+        words = WORD.findall(text or "")
+        gone = [False] * len(words)
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(window)
+        want[i] = (len(words), sum(gone), sha(" ".join(w for w, g in zip(words, gone) if not g)))
+    assert as_dict(substrings.repeats(docs), "n_words", "n_removed", "kept_sha256") == want
+    assert sum(w[1] for w in want.values()) > 500
+
+
+def test_split_anchors_change_nothing(docs, monkeypatch):
+    want = as_dict(substrings.repeats(docs), "n_removed", "kept_sha256")
+    monkeypatch.setattr(substrings, "SPLIT", 1)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
+    assert as_dict(substrings.repeats(docs), "n_removed", "kept_sha256") == want
+
+
+def test_fm_index():
+    import numpy as np
+
+    rng = random.Random(7)
+    rows = [[rng.randint(1, 4) for _ in range(rng.randint(3, 30))] for _ in range(20)]
+    flat, first = np.array([x for r in rows for x in r]), np.cumsum([0, *map(len, rows)])
+    index = substrings.FMIndex(flat, first)
+    for _ in range(200):
+        pattern = [rng.randint(1, 4) for _ in range(rng.randint(1, 6))]
+        low, high, matched = index.search(np.array(pattern), np.array([0]), np.array([len(pattern)]))
+        count = sum(r[k : k + len(pattern)] == pattern for r in rows for k in range(len(r)))
+        assert (high[0] - low[0] if matched[0] == len(pattern) else 0) == count
+
+
+def brute_components(rows, size=4):
+    sets = {}
+    for i, text in rows:
+        words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = frozenset(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(seed=3):
+    """Groups in which links form chains: each member changes one more word of the one before it."""
+    rng, rows = random.Random(seed), []
+    for size in (6, 9, 14, 25, 60, 200):
+        words = ["g%d_%d" % (size, k) for k in range(size)]
+        for k in range(14):
+            rows.append((1000 + len(rows), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(size)] = "x%d" % rng.randrange(10**6)
+            if k % 5 == 4:
+                words.append("tail%d" % k)
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("rows", [corpus(), near_copies()], ids=["corpus", "chains"])
+def test_join_components(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    assert as_dict(jaccard.join_components(docs), "n_shingles", "component_id") == want
+    kept = {r["doc_id"] for r in jaccard.keep_one_each(docs).collect()}
+    assert kept == {i for i, (_, c) in want.items() if c == i}
+    assert len(set(c for _, c in want.values())) < len(want)
+
+
+def test_signatures_never_miss_a_link():
+    import numpy as np
+
+    rng, bands = np.random.default_rng(0), jaccard.Bands()
+    for size in [*range(1, 60), 100, 333, 1000]:
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for _ in range(6):
+            out, new = rng.integers(0, max(1, size // 8), 2)
+            other = np.unique(np.concatenate([base[out:], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+            if len(other) and jaccard.linked(base, other, 85, 100) and not np.array_equal(base, other):
+                assert np.intersect1d(jaccard.signatures(base, bands), jaccard.signatures(other, bands)).size
+                words = min(len(jaccard.sketch(base)), len(jaccard.sketch(other)))
+                bits = jaccard.fold(jaccard.sketch(base), words) ^ jaccard.fold(jaccard.sketch(other), words)
+                assert np.bitwise_count(bits).sum() <= np.setxor1d(base, other).size <= bands.most(len(base) + len(other))
+
+
+def test_round_trip(docs):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=registry.public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(TIKTOKEN)), special_tokens={})
+    want = {}
+    for i, text in corpus():
+        ids = library.encode_ordinary(text or "")
+        want[i] = (len(ids), sha(" ".join(map(str, ids))), sha(text or ""))
+    assert as_dict(bpe.round_trip(docs, TIKTOKEN), "n_tokens", "ids_sha256", "decoded_sha256") == want
+    assert as_dict(bpe.encode(docs, TIKTOKEN).withColumn("n", F.size("ids").cast("long")), "n") == {i: w[:1] for i, w in want.items()}
+    counts = as_dict(edits.edited_counts(docs, TIKTOKEN), "n_tokens", "edited_n_tokens", "edited_sha256")
+    for i, text in corpus():
+        changed = edits.apply_edits(text or "", edits.sample_edits(text or ""))
+        assert counts[i] == (want[i][0], len(library.encode_ordinary(changed)), sha(changed))
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    found = collections.defaultdict(list)
+    rows = packing.pack_documents(docs, JSON, capacity=256, block=40).collect()
+    for r in rows:
+        found[r["doc_id"]].append(r)
+    for i, text in corpus():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for k, r in enumerate(sorted(found[i], key=lambda r: r["piece"])):
+            part = ids[r["start"] : r["start"] + r["length"]]
+            assert r["piece"] == k and r["start"] == at and len(part) == r["length"] <= 256
+            assert k == 0 or r["length"] == 256
+            assert r["ids_crc32"] == zlib.crc32(b"".join(t.to_bytes(4, "little") for t in part))
+            at += r["length"]
+        assert at == len(ids)
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in sequences.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 256
+    total = sum(r["length"] for r in rows)
+    assert len(sequences) <= 1.06 * -(-total // 256) + 5
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "user", "a%3C<b>[x]</s>"),
+        (1, 1, "assistant", "%25 ok"),
+        (1, 2, "user", None),
+        (2, 5, "assistant", "later"),
+        (2, 1, "system]", "first\n"),
+        (2, 7, "assistant", ""),
+        (3, 0, "user", "alone"),
+        (None, 0, None, "x"),
+        (4, None, "assistant", "é"),
+        (4, None, "assistant", "é"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r["conv_id"]: r for r in chat.read_back(chat.examples(chat.with_probe(table))).collect()}
+    groups = collections.defaultdict(list)
+    for c, t, role, text in [*rows, (-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]:
+        groups[c].append((t is not None, t or 0, role or "", text or ""))
+    assert set(found) == set(groups)
+    for c, turns in groups.items():
+        turns.sort()
+        loss = "".join(t for *_, role, t in turns if role == "assistant")
+        assert found[c]["n_turns"] == len(turns)
+        assert found[c]["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for *_, role, t in turns))
+        assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(loss), sha(loss))
+    made = chat.examples(table).where("conv_id = 1").orderBy("example").collect()
+    assert [(r["example"], r["formatted"][r["mask_start"] : r["mask_start"] + r["mask_chars"]]) for r in made] == [(2, "%2525 ok"), (3, "")]
+
+
+def toxic_corpus(spark):
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = ["w%s" % rng.choice("abcdefghij") + rng.choice(["an", "el", "or"]) * rng.randint(1, 3) for _ in range(60)]
+        if toxic:
+            for bad in rng.sample(["moron", "m0r0n", "idiot", "1d10t", "clown", "clooown"], 3):
+                words[rng.randrange(60)] = bad
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark):
+    docs, labels = toxic_corpus(spark)
+    found = as_dict(toxicity.score(docs, labels), "held_out", "score", "predicted")
+    right = [p == (i % 4 == 0) for i, (h, _, p) in found.items() if h]
+    assert len(right) > 80 and sum(right) / len(right) > 0.97
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, (h, _, _) in found.items())
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, s, p in found.values())
+    kept = toxicity.filter_toxic(docs, labels).count()
+    assert 430 <= kept <= 470
+    # labels of the held-out fold are not looked at
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert as_dict(toxicity.score(docs, flipped), "predicted") == {i: (p,) for i, (_, _, p) in found.items()}
+
+
+def test_lm_scores(docs):
+    found = as_dict(pseudolm.score(docs), "n_words", "log_prob", "per_word")
+    for i, text in corpus():
+        n = len(WORD.findall(text or ""))
+        assert found[i][0] == n and (found[i][1] < 0) == (n > 0) and (found[i][2] is None) == (n == 0)
+
+
+def test_quality_filter(docs):
+    found = as_dict(quality.quality(docs), "base_failed", "kept")
+    kept = {r["doc_id"] for r in quality.filter_quality(docs).collect()}
+    assert kept == {i for i, (_, k) in found.items() if k} and all(not k for f, k in found.values() if f)
+
+
+def operators(labels):
+    return {
+        "op1": fingerprints.fingerprint_edits,
+        "fingerprints": fingerprints.fingerprints,
+        "op2": lambda d: bpe.round_trip(d, TIKTOKEN),
+        "op3": pseudolm.score,
+        "op4": substrings.repeats,
+        "op4b": substrings.remove_repeats,
+        "op5": lambda d: toxicity.score(d, labels),
+        "op6": lambda d: edits.edited_counts(d, TIKTOKEN),
+        "op7": jaccard.join_components,
+        "op7b": jaccard.keep_one_each,
+        "op8": quality.quality,
+        "op8b": quality.filter_quality,
+        "op10": lambda d: packing.pack_documents(d, JSON),
+    }
+
+
+def test_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, None), (None, 0, 1), (1, 0, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    long = "a very long text " * 4000
+    rows = [(None, None), (None, "null id"), (1, long), (1, long), (2, None), (3, ""), (3, "tie"), (4, "tie"), (5, "퟿👍 é")]
+    some = spark.createDataFrame([(i, t, None, None, None, 1, 1, 1, 1) for i, t in rows], SCHEMA)
+    for name, f in operators(labels).items():
+        n = f(some).count()
+        assert n <= len(rows) if name in ("op7b", "op8b") else n >= len(rows), name
+
+
+def test_no_rows(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], SCHEMA)
+    for name, f in operators(labels).items():
+        assert f(none).count() == 0, name
+    assert chat.read_back(chat.examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_pipeline_stages(spark):
+    folder = "/root/testdata/sf0.001"
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "toxicity", "ngram_jaccard", "substring_dedup", "best_fit_packing"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] == sizes[4]
+    packed = corpus_pipeline.run(spark, folder)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
