@@ -13,7 +13,7 @@ A document's set is its distinct word shingles. Two sets are linked when ``den *
 * Classes that share a signature meet in a bucket. Buckets with the same content are one. Within a bucket a
   set is compared with the others by odd sketches (bits that flip with each element): two sketches differ in
   no more bits than the sets differ in elements, so a pair that they rule out is not linked. Of what is left,
-  each class proposes one class of a component with a smaller number; whole sets decide. Links thus form a
+  each class proposes a few classes of components with smaller numbers; whole sets decide. Links thus form a
   forest, whose roots pointer jumping finds. Rounds go on until no bucket holds an undecided pair of different
   components. Thus no pair within a group
   is compared once the group is joined, and no link between components is missed.
@@ -43,6 +43,7 @@ SHINGLE = 4
 NUM, DEN = 85, 100
 BROADCAST_ROWS = 1_000_000
 SURE = 0.75
+NEAREST = 4
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,8 +142,8 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Odd sketch: one bit for each of at least twice as many places as elements, flipped by each element there."""
-    places = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    """Odd sketch: one bit for each of at least four times as many places as elements, flipped by each element there."""
+    places = max(64, 1 << (4 * len(elements) - 1).bit_length())
     flips = np.bincount((mix(elements + np.uint64(7)) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -165,62 +166,93 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 # --- buckets ---------------------------------------------------------------------------------------------
 
 
+def _bits(sketches: list[bytes]) -> list[int]:
+    """Sketches as whole numbers, folded to the shortest one."""
+    size = 8 * min(map(len, sketches))
+    out = []
+    for s in sketches:
+        value, width = int.from_bytes(s, "little"), 8 * len(s)
+        while width > size:
+            width //= 2
+            value = (value >> width) ^ (value & ((1 << width) - 1))
+        out.append(value)
+    return out
+
+
 def propose(classes: list[int], comps: list[int], sizes: list[int], sketches: list[bytes], failed: list, bands: Bands) -> list:
-    """(class, class of a smaller component that sketches do not rule out, rank) within a bucket.
+    """(class, its component, class of a smaller component that sketches do not rule out, that one, rank) within
+    a bucket.
 
     Of the partners that differ in at most ``SURE`` of the allowed bits, that of the smallest component is
-    taken, so that a group gathers around one class; where there is none, the nearest one.
+    proposed, so that a group gathers around one class; where there is none, the ``NEAREST`` nearest ones. A
+    class without a proposal has no partner left in the bucket.
     """
-    if len(set(comps)) < 2:
+    if min(comps) == max(comps):
         return []
-    bits = [np.frombuffer(s, np.uint64) for s in sketches]
-    words = min(map(len, bits))
-    table = np.array([fold(b, words) for b in bits])
-    number, comp, size = np.array(classes), np.array(comps), np.array(sizes)
-    order = np.lexsort((number, comp))
-    table, number, comp, size = table[order], number[order], comp[order], size[order]
-    out = []
+    order = sorted(range(len(classes)), key=lambda i: (comps[i], classes[i]))
+    values = _bits([sketches[i] for i in order])
+    classes, comps, sizes = ([x[i] for i in order] for x in (classes, comps, sizes))
+    wide = len(order) > 24
+    if wide:
+        step = (max(v.bit_length() for v in values) + 63) // 64 or 1
+        table = np.array([np.frombuffer(v.to_bytes(8 * step, "little"), np.uint64) for v in values])
+        number, size = np.array(classes), np.array(sizes)
+    out, before = [], 0
     for i in range(1, len(order)):
-        before = int(np.searchsorted(comp, comp[i]))
+        if comps[i] != comps[i - 1]:
+            before = i
         if not before:
             continue
-        apart = np.bitwise_count(table[:before] ^ table[i]).sum(axis=1, dtype=np.int64)
-        allowed = (bands.den - bands.num) * (size[:before] + size[i]) // (bands.den + bands.num)
-        fits = apart <= allowed
         lost = failed[order[i]]
-        if lost:
-            fits &= ~np.isin(number[:before], lost)
-        fits = np.flatnonzero(fits)
-        if not len(fits):
+        if wide:
+            apart = np.bitwise_count(table[:before] ^ table[i]).sum(axis=1, dtype=np.int64)
+            allowed = (bands.den - bands.num) * (size[:before] + size[i]) // (bands.den + bands.num)
+            fits = apart <= allowed
+            if lost:
+                fits &= ~np.isin(number[:before], lost)
+            found = [(j, int(apart[j]), int(allowed[j])) for j in np.flatnonzero(fits).tolist()]
+        else:
+            found = []
+            for j in range(before):
+                allowed = bands.most(sizes[j] + sizes[i])
+                apart = (values[j] ^ values[i]).bit_count()
+                if apart <= allowed and not (lost and classes[j] in lost):
+                    found.append((j, apart, allowed))
+        if not found:
             continue
-        sure = fits[apart[fits] <= SURE * allowed[fits]]
-        best = int(sure[0]) if len(sure) else int(fits[np.argmin(apart[fits])])
-        out.append((int(number[i]), int(comp[i]), int(number[best]), int(comp[best]), 0 if len(sure) else 1 + int(apart[best])))
+        sure = next((j for j, apart, allowed in found if apart <= SURE * allowed), None)
+        if sure is not None:
+            chosen = [(sure, 0)]
+        else:
+            chosen = [(j, 1 + apart) for j, apart, _ in sorted(found, key=lambda f: f[1])[:NEAREST]]
+        out += [(classes[i], comps[i], classes[j], comps[j], rank) for j, rank in chosen]
     return out
 
 
 def _buckets(batches, bands: Bands):
-    """Stream of rows sorted by bucket."""
+    """Stream of rows sorted by bucket; proposals carry the bucket they come from."""
     names = ("cls", "comp", "n", "sketch", "failed")
-    bucket, held = None, [[] for _ in names]
+    bucket, held, rows = None, [[] for _ in names], []
 
-    def done():
-        rows = propose(*held, bands)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["cls", "comp", "other", "into", "apart"]
-        )
+    def batch_of(rows):
+        columns = list(zip(*rows)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sig", "cls", "comp", "other", "into", "apart"])
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in names]
         for k, number in enumerate(batch.column("sig").to_pylist()):
             if number != bucket:
                 if len(held[0]) > 1:
-                    yield done()
+                    rows += [(bucket, *r) for r in propose(*held, bands)]
                 bucket, held = number, [[] for _ in names]
+                if len(rows) > 20_000:
+                    yield batch_of(rows)
+                    rows = []
             for to, column in zip(held, columns):
                 to.append(column[k])
     if len(held[0]) > 1:
-        yield done()
+        rows += [(bucket, *r) for r in propose(*held, bands)]
+    yield batch_of(rows)
 
 
 def _set_rows(docs: DataFrame, size: int, emit, schema: str) -> DataFrame:
@@ -348,13 +380,17 @@ def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, d
         else:
             sides = failed.unionByName(failed.select(F.col("other").alias("cls"), F.col("cls").alias("other")))
             state = state.join(sides.groupBy("cls").agg(F.collect_set("other").alias("failed")), "cls", "left")
-        proposed = (
-            state.repartition("sig")
-            .sortWithinPartitions("sig")
-            .mapInArrow(lambda batches: _buckets(batches, bands), "cls long, comp long, other long, into long, apart long")
+        kinds = "sig long, cls long, comp long, other long, into long, apart long"
+        proposed = cut_lineage(
+            state.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda batches: _buckets(batches, bands), kinds)
         )
-        first = F.min_by(F.struct("comp", "other", "into"), F.struct("apart", "into", "other")).alias("p")
-        pairs = cut_lineage(proposed.groupBy("cls").agg(first).select("cls", "p.comp", "p.other", "p.into"))
+        # a bucket without a proposal has no undecided pair, and never will have one again
+        open_buckets = proposed.select("sig").distinct()
+        buckets = cut_lineage(buckets.join(open_buckets, "sig", "left_semi"))
+        offers = F.array_sort(F.collect_set(F.struct("apart", "into", "other", "comp")))
+        chosen = proposed.groupBy("cls").agg(offers.alias("p"))
+        chosen = chosen.withColumn("p", F.when(F.col("p")[0]["apart"] == 0, F.slice("p", 1, 1)).otherwise(F.slice("p", 1, 2 * NEAREST)))
+        pairs = cut_lineage(chosen.select("cls", F.explode("p").alias("p")).select("cls", "p.comp", "p.other", "p.into"))
         n_pairs = pairs.count()
         if not n_pairs:
             return comps
@@ -405,3 +441,21 @@ def keep_one_each(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int
         has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         kept = kept.where(~has_word).unionByName(kept.where(has_word).dropDuplicates(["doc_id", "text"]))
     return kept
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k:k + 3], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM d WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.other)::BIGINT AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.id = d.doc_id GROUP BY d.doc_id, n.n
+"""

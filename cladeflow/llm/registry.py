@@ -38,7 +38,8 @@ def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(table(spark, sf_dir, "documents"))
+    found = jaccard.join_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +60,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_prefix_target_chat": chat.ORACLE_SQL}
+    return {
+        "op4_fm_index_dedup": substrings.ORACLE_SQL,
+        "op7_partenum_join": jaccard.ORACLE_SQL,
+        "op9_prefix_target_chat": chat.ORACLE_SQL,
+    }

@@ -421,3 +421,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns)
 
     return _with_decisions(docs, width).mapInArrow(run, docs.schema)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM d),
+v AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM w),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS nth FROM v WHERE k + 19 <= n),
+m AS (SELECT w.doc_id, w.k, w.word, coalesce(max(CASE WHEN r.nth > 1 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY w.doc_id ORDER BY w.k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.k = r.k),
+a AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
