@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.llm.storage import cut_lineage
 from cladeflow.llm.textops import BYTE_CODES, Hasher, Words, as_column, buffer, chunks, distinct, mix, small_batches
 
 SAMPLE = 8000
@@ -379,8 +380,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
         .where(F.col("weight") >= MIN_WEIGHT)
         .orderBy(F.desc("weight"), "key")
         .limit(MAX_FEATURES)
-        .toPandas()
     )
+    features = cut_lineage(features).toPandas()  # each task's share of the best goes to one other task first
     keys, weights = features["key"].to_numpy(np.int64).view(np.uint64), features["weight"].to_numpy(float)
     flat = spark.sparkContext.broadcast((counts, keys, weights, np.zeros(STATISTICS + 1)))
 
