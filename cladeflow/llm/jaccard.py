@@ -20,7 +20,8 @@ A document's set is its distinct word shingles. Two sets are linked when ``den *
 
 The rows moved are signatures (16 bytes each, equal ones of an Arrow batch merged before) and, for classes
 that share a signature with another one, sketches and sets. Class numbers are 64-bit hashes of whole sets.
-A table of class representatives is broadcast only when counted below ``BROADCAST_ROWS``.
+Tables of numbers are broadcast only when counted below ``BROADCAST_ROWS``, sketches only when they
+take less than ``BROADCAST_BYTES``; beyond, they are joined by shuffles.
 
 Null and empty texts, and texts of white space, have an empty set and are linked with nothing: their
 component is their own id. Rows with equal ids are separate rows of one id. Null ids never represent a
@@ -42,6 +43,7 @@ from cladeflow.llm.textops import BYTE_CODES, Hasher, Words, as_column, buffer,
 SHINGLE = 4
 NUM, DEN = 85, 100
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 SURE = 0.75
 NEAREST = 4
 LOWER = np.arange(256, dtype=np.uint8)
@@ -362,11 +364,13 @@ def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, d
     if not n_reps:
         return None
     profiles = _profiles(docs.join(_broadcast(reps.select("doc_id"), n_reps), "doc_id", "left_semi"), size)
-    profiles = profiles.join(_broadcast(reps.select("cls"), n_reps), "cls", "left_semi").dropDuplicates(["cls"])
-    profiles = cut_lineage(profiles)
+    profiles = cut_lineage(profiles.join(_broadcast(reps.select("cls"), n_reps), "cls", "left_semi"))
+    if profiles.count() > n_reps:  # rows of one id and one text
+        profiles = cut_lineage(profiles.dropDuplicates(["cls"]))
     release(docs.sparkSession)
     light = profiles.select("cls", "n", "sketch")
-    comps = failed = None
+    few = light.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] <= BROADCAST_BYTES
+    comps, failed, n_failed = None, None, 0
     while True:
         state = buckets.withColumn("comp", F.col("cls"))
         if comps is not None:  # only buckets with several components
@@ -374,15 +378,18 @@ def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, d
             state = state.select("sig", "cls", F.coalesce("component", "cls").alias("comp"))
             spans = state.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
             state = state.join(spans.select("sig"), "sig", "left_semi")
-        state = state.join(light, "cls")
+        # small sketches are looked up once the rows lie by bucket, so that they do not cross the network with them
+        state = state.repartition("sig").join(F.broadcast(light), "cls") if few else state.join(light, "cls").repartition("sig")
         if failed is None:
             state = state.withColumn("failed", F.lit(None).cast("array<bigint>"))
         else:
             sides = failed.unionByName(failed.select(F.col("other").alias("cls"), F.col("cls").alias("other")))
-            state = state.join(sides.groupBy("cls").agg(F.collect_set("other").alias("failed")), "cls", "left")
+            sides = sides.groupBy("cls").agg(F.collect_set("other").alias("failed"))
+            state = state.join(_broadcast(sides, 2 * n_failed), "cls", "left")
+            state = state if 2 * n_failed <= BROADCAST_ROWS else state.repartition("sig")
         kinds = "sig long, cls long, comp long, other long, into long, apart long"
         proposed = cut_lineage(
-            state.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda batches: _buckets(batches, bands), kinds)
+            state.sortWithinPartitions("sig").mapInArrow(lambda batches: _buckets(batches, bands), kinds)
         )
         # a bucket without a proposal has no undecided pair, and never will have one again
         open_buckets = proposed.select("sig").distinct()
@@ -396,6 +403,7 @@ def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, d
             return comps
         decided = cut_lineage(_verify(pairs, n_pairs, profiles, num, den))
         bad = decided.where("not linked").select("cls", "other")
+        n_failed += bad.count()
         failed = bad if failed is None else cut_lineage(failed.unionByName(bad))
         moves = decided.where("linked").groupBy("comp").agg(F.min("into").alias("into"))
         roots = _roots(moves)
