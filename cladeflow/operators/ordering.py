@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 BUCKET = 1 << 16
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a few large files dealt to all cores, before work that takes long; otherwise as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def running_sum(rows: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
     """Adds the sum of ``value`` over all rows with a smaller ``order`` (a unique whole number).
 

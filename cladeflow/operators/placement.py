@@ -195,7 +195,8 @@ def place(queries: DataFrame, reference: Reference, options: Options | None = No
     ready = queries.withColumn("sites", normalise(F.col("sites"), protein)).where(range_span(F.col("sites")) > 0)
     if collapse:
         members = F.sort_array(F.collect_list(F.struct("seq_id", "label")))
-        ready = ready.groupBy("sites").agg(F.min("seq_id").alias("seq_id"), members["label"].alias("names"))
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # kept, as the map behind takes long
+        ready = ready.repartition(parts, "sites").groupBy("sites").agg(F.min("seq_id").alias("seq_id"), members["label"].alias("names"))
     else:
         ready = ready.withColumn("names", F.array("label"))
     placed = candidates(ready, reference, options)

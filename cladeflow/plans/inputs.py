@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeflow.operators.ordering import spread
+
 WIDTH = 64
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
@@ -19,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters of every whole text as nucleotides, cut into rows of equal width; the last row of a text is
     filled with gaps. (seq_id, doc_id, label, sites)"""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     bases = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES)
     rows = docs.select("doc_id", bases.alias("bases")).where("length(bases) > 0")
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / WIDTH).cast("int"))).alias("chunk")
