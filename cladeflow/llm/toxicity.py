@@ -2,9 +2,12 @@
 
 1. A character trigram model is counted over all documents (a map with one small table per task, summed).
 2. Noisy channel: words that look disguised (digits or signs among letters, letters repeated three times or
-   more, letters kept apart by dots, dashes or spaces) become lattices. Each observed sign may stand for
-   itself or for the letters it imitates, a run of one letter for one or two of it, a separator for nothing;
-   Viterbi decoding under the trigram model and the costs of the channel restores the word.
+   more, letters kept apart by dots, dashes or spaces) become lattices of their whole length. Each observed
+   sign may stand for itself or for the letters it imitates, a run of one letter for one or two of it, a gap
+   (separators in a row) for nothing or for the border of two words, the latter where it is wider than others
+   of its token; Viterbi decoding under the trigram model and the costs of the channel restores the words.
+   As the model knows no words, borders are uncertain: of a token with gaps, the joined letters count, and
+   every word whose probability over all ways to set the borders is at least ``LIKELY``.
 3. Features of a text are its restored words in lower case and their first 4 to 8 bytes. Their log-odds
    are counted on labelled rows, at most ``SAMPLE`` of each label, those with the smallest hash of doc_id;
    only rows outside the held-out fold (crc32 of doc_id modulo 5 is not 0) are learnt from. At most
@@ -19,6 +22,8 @@ id the largest counts. Without labelled rows of both kinds every score is the sh
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,9 +65,11 @@ LOOKS_LIKE = {
     "(": "c",
     "€": "e",
 }
-SEPARATORS = set("._-*~ ")
+SEPARATORS = set("._-*~ \t\n\v\f\r")
 SUBSTITUTE, SHORTEN, SKIP = -1.0, -0.5, -0.5
-LONGEST = 64
+NARROW = -8.0  # a wide gap stands for nothing
+BORDER = -2.0  # a narrow gap stands for a border
+LIKELY = 0.01
 
 
 # --- character model -------------------------------------------------------------------------------------
@@ -104,41 +111,129 @@ class CharModel:
         self.log = np.log(p3).astype(np.float32)
 
     def decode(self, observed: str) -> str:
-        """The likeliest word behind what was observed."""
-        observed = observed.lower()[:LONGEST]
+        """The likeliest words behind what was observed, with spaces between them."""
+        return "".join(self._read(observed)[0])
+
+    def _read(self, observed: str) -> tuple[list[str], list[int]]:
+        """The pieces of the likeliest reading, and of each: 0 if it was seen, 1 for a narrow gap, 2 for a wide one.
+        Time is linear in the length."""
         runs: list[tuple[str, int]] = []
-        for c in observed:
-            if runs and runs[-1][0] == c:
-                runs[-1] = (c, runs[-1][1] + 1)
+        for c in observed.lower():
+            gap = c in SEPARATORS
+            if runs and (runs[-1][0] == " " if gap else runs[-1][0] == c):
+                runs[-1] = (runs[-1][0], runs[-1][1] + 1)
             else:
-                runs.append((c, 1))
+                runs.append((" " if gap else c, 1))
+        narrow = min((n for c, n in runs if c == " "), default=0)
         log = self.log
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # (score, what was read: the last piece and, nested, those before it) by the last two symbols
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for c, n in runs:
             options: list[tuple[str, float]] = []
+            kind = 0
             if c in SYMBOL:
                 options = [(c * n, 0.0)] if n < 3 else [(c, SHORTEN), (c * 2, SHORTEN)]
-            elif c in SEPARATORS:
-                options = [("", SKIP)]
+            elif c == " ":
+                wide = n > narrow
+                kind = 1 + wide
+                options = [("", NARROW if wide else SKIP), (" ", SKIP if wide else BORDER)]
             else:
                 options = [(x * m, SUBSTITUTE * n) for x in LOOKS_LIKE.get(c, "") for m in {1, min(n, 2)}]
                 options.append((c * n, 0.0))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in best.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, read) in best.items():
                 for text, cost in options:
                     u, v, total = a, b, score + cost
-                    for x in text:
-                        k = SYMBOL.get(x, 1)
-                        total += float(log[u, v, k])
-                        if k == 1:
-                            total -= 3.0  # which of the other signs it is
-                        u, v = v, k
+                    if text == " ":
+                        total += float(log[u, v, 0])
+                        u = v = 0
+                    else:
+                        for x in text:
+                            k = SYMBOL.get(x, 1)
+                            total += float(log[u, v, k])
+                            if k == 1:
+                                total -= 3.0  # which of the other signs it is
+                            u, v = v, k
                     old = after.get((u, v))
                     if old is None or total > old[0]:
-                        after[u, v] = (total, word + text)
+                        after[u, v] = (total, (text, kind, read))
             best = after
-        ends = [(score + float(log[a, b, 0]), word) for (a, b), (score, word) in best.items()]
-        return max(ends)[1]
+        _, _, _, read = max((score + float(log[a, b, 0]), a, b, read) for (a, b), (score, read) in best.items())
+        pieces, kinds = [], []
+        while read is not None:
+            piece, kind, read = read
+            pieces.append(piece)
+            kinds.append(kind)
+        return pieces[::-1], kinds[::-1]
+
+    def words(self, observed: str) -> list[str]:
+        """The distinct words of what was observed; of the readings of its gaps, all likely ones."""
+        pieces, kinds = self._read(observed)
+        found = "".join(pieces).split()
+        if any(kinds):
+            letters, gaps = "", {}
+            for piece, kind in zip(pieces, kinds):
+                if not kind:
+                    letters += piece
+                elif letters:
+                    gaps[len(letters)] = kind
+            gaps.pop(len(letters), None)
+            found += [letters, *self._likely(letters, gaps)]
+        return list(dict.fromkeys(found))
+
+    def _likely(self, letters: str, gaps: dict[int, int]) -> list[str]:
+        """Words between borders at some of the gaps, each of probability ``LIKELY`` or more, by sums over all choices.
+
+        States are the letters since the last border: none, one, or more. At most 1 / LIKELY beginnings are
+        likely to reach any one letter, so time is linear in the length.
+        """
+        n, log, least = len(letters), self.log, math.log(LIKELY)
+        if not n:
+            return []
+        s = [0, 0, *(SYMBOL.get(c, 1) for c in letters)]
+        before = [((0, 0), (0, s[t + 1]), (s[t], s[t + 1])) for t in range(n + 1)]
+        step = [[float(log[u, v, s[t + 2]]) for u, v in before[t]] for t in range(n)]
+        end = [[float(log[u, v, 0]) for u, v in before[t]] for t in range(n + 1)]
+        costs = {t: (SKIP, BORDER) if kind == 1 else (NARROW, SKIP) for t, kind in gaps.items()}
+        rest = [[0.0] * 3 for _ in range(n)]  # all that may follow, by state
+        for t in range(n - 1, -1, -1):
+            after = end[n] if t + 1 == n else rest[t + 1]
+            if t + 1 in costs:
+                join, border = costs[t + 1]
+                after = [_add(join + after[d], border + end[t + 1][d] + after[0]) for d in range(3)]
+            rest[t] = [step[t][d] + after[min(d + 1, 2)] for d in range(3)]
+        total = rest[0][0]
+        here = [0.0, -math.inf, -math.inf]  # all that may come before, by state
+        found = []
+        for i in range(n):
+            if i and i in costs:
+                join, border = costs[i]
+                start = -math.inf
+                for d in (1, 2):
+                    start = _add(start, here[d] + border + end[i][d])
+                here = [start, here[1] + join, here[2] + join]
+            run, d = here[0], 0
+            for j in range(i + 1, n + 1):
+                if run + rest[j - 1][d] - total < least:
+                    break
+                run, d = run + step[j - 1][d], min(d + 1, 2)
+                if j == n:
+                    done = run + end[n][d]
+                elif j in costs:
+                    done = run + costs[j][1] + end[j][d] + rest[j][0]
+                    run += costs[j][0]
+                else:
+                    continue
+                if done - total >= least:
+                    found.append(letters[i:j])
+            here = [-math.inf, here[0] + step[i][0], _add(here[1] + step[i][1], here[2] + step[i][2])]
+        return found
+
+
+def _add(a: float, b: float) -> float:
+    """The logarithm of the sum of two numbers given by theirs."""
+    high, low = max(a, b), min(a, b)
+    return high + math.log1p(math.exp(low - high)) if low > -math.inf else high
 
 
 # --- features --------------------------------------------------------------------------------------------
@@ -188,7 +283,7 @@ def disguised(words: Words) -> np.ndarray:
 class Features:
     """(row, feature) pairs of all texts of a chunk; words that look disguised are restored first."""
 
-    def __init__(self, column: pa.Array, model: CharModel | None, memory: dict[str, str] | None = None):
+    def __init__(self, column: pa.Array, model: CharModel | None, memory: dict[str, list[str]] | None = None):
         data, offsets = buffer(column)
         words = Words(_lower(data), offsets)
         odd = disguised(words)
@@ -197,7 +292,7 @@ class Features:
             memory = {} if memory is None else memory
             texts = words.data.tobytes()
             plain = [(w, texts[words.starts[w] : words.ends[w]].decode("utf-8", "replace")) for w in np.flatnonzero(odd).tolist()]
-            # letters on their own, three or more in a row, are one word
+            # letters on their own, three or more in a row, are one token
             second = words.data[np.minimum(words.starts + 1, len(words.data) - 1)]
             size = words.ends - words.starts
             single = np.flatnonzero(LETTER[words.data[words.starts]] & ((size == 1) | ((size == 2) & (second < 128) & ~LETTER[second])))
@@ -209,13 +304,13 @@ class Features:
                         at = single[a:b]
                         plain.append((int(at[0]), texts[words.starts[at[0]] : words.ends[at[-1]]].decode("utf-8", "replace")))
             for w, text in plain:
-                word = memory.get(text)
-                if word is None:
+                found = memory.get(text)
+                if found is None:
                     if len(memory) > 200_000:
                         memory.clear()
-                    word = memory[text] = model.decode(text.strip(".,;:!?\"'`*%&#()[]{}"))
-                restored.append(word)
-                rows.append(int(words.rows[w]))
+                    found = memory[text] = model.words(text.strip(".,;:!?\"'`*%&#()[]{}"))
+                restored += found
+                rows += [int(words.rows[w])] * len(found)
         kept = ~odd if model is not None else np.ones(len(odd), bool)
         s, e = words.starts[kept], words.ends[kept]
         own = self._hash(words.data, words.bytes, s, e, words.rows[kept])
@@ -257,7 +352,7 @@ class Scorer:
         self.keys, self.weights, self.curve = keys[order], weights[order], curve
         self.hint = np.zeros(1 << 20, bool)
         self.hint[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.memory: dict[str, str] = {}
+        self.memory: dict[str, list[str]] = {}
 
     def statistics(self, column: pa.Array) -> np.ndarray:
         """Per row: the strongest weight; logarithms of the number of distinct features, of the sum of their

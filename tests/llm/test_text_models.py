@@ -202,6 +202,40 @@ def test_deobfuscation():
     assert len(toxicity.Features(column(["", " "]), model, {}).keys) == 0
 
 
+def test_spelled_out_phrases():
+    words = "you are a an and the of or idiot moron clown stupid loser hello world".split()
+    rng = random.Random(4)
+    model = toxicity.CharModel(toxicity.trigram_counts([" ".join(rng.choice(words) for _ in range(2000))]))
+    for text, meant in [
+        ("y o u i d i o t", "idiot"),
+        ("a m o r o n", "moron"),
+        ("y o u a r e a n i d i o t a n d a m o r o n", "moron"),
+        ("y  o  u  a  r  e    a    m  o  r  o  n", "moron"),
+        ("the-m-o-r-o-n-and", "moron"),
+        ("a.n.d." * 40 + "m.o.r.o.n", "moron"),
+        ("m\no\nr\to\nn", "moron"),
+        ("s" * 100 + "tup1d", "stupid"),
+    ]:
+        found = toxicity.Features(column([text]), model, {})
+        plain = toxicity.Features(column([meant]), None)
+        assert meant in found.restored and set(plain.keys) <= set(found.keys), text
+    # probabilities of words agree with sums over every choice of borders
+    letters, gaps = "youidiot", {2: 1, 3: 2, 5: 1}
+    total = collections.Counter()
+    for bits in range(8):
+        cuts = [g for k, g in enumerate(gaps) if bits >> k & 1]
+        costs = [((toxicity.SKIP, toxicity.BORDER) if kind == 1 else (toxicity.NARROW, toxicity.SKIP))[g in cuts] for g, kind in gaps.items()]
+        score = sum(costs)
+        parts = [letters[a:b] for a, b in zip([0, *cuts], [*cuts, len(letters)])]
+        for part in parts:
+            s = [0, 0, *(toxicity.SYMBOL[c] for c in part), 0]
+            score += sum(float(model.log[s[k], s[k + 1], s[k + 2]]) for k in range(len(s) - 2))
+        for part in [*parts, None]:
+            total[part] += np.exp(score)
+    likely = {p for p, x in total.items() if p and x / total[None] >= toxicity.LIKELY}
+    assert set(model._likely(letters, gaps)) == likely and len(likely) < len(total) - 1
+
+
 def test_trigrams_count_borders():
     counts = toxicity.trigram_counts(["ab", " b", ""]).reshape((toxicity.SIZE,) * 3)
     a, b = toxicity.SYMBOL["a"], toxicity.SYMBOL["b"]
