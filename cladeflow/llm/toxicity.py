@@ -13,7 +13,9 @@
    only rows outside the held-out fold (crc32 of doc_id modulo 5 is not 0) are learnt from. At most
    ``MAX_FEATURES`` features are kept and broadcast.
 4. A text is scored by a logistic function, fitted on the same sample, of its strongest feature, of how many
-   and how strong its features are, and of its length. Nothing but the text enters a score.
+   and how strong its features are, and of its length. Sampled rows are weighted by the labelled rows of
+   their label they stand for, so the share of each label, and with it the cut, stays that of all usable labels
+   whatever the size of the table. Nothing but the text enters a score.
 
 Scoring is a map over rows. Null and empty texts get the score of a text without features; null ids count as
 not held out and are never learnt from; rows with equal ids are scored separately; of several labels of one
@@ -388,15 +390,19 @@ def logistic(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ curve[1:] + curve[0], -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
-    """Intercept and weights, by Newton's method on scaled columns with a small ridge."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.05, weight: np.ndarray | None = None
+) -> np.ndarray:
+    """Intercept and weights, by Newton's method on scaled columns with a small ridge; rows may have weights."""
+    weight = np.ones(len(x)) if weight is None else weight
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(z.shape[1])
     penalty = ridge * np.eye(len(w))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + penalty, z.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + penalty, z.T @ (weight * (y - p)) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -491,7 +497,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     names = [f"x{k}" for k in range(STATISTICS)]
     seen = rows.mapInArrow(measure, "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas()
     seen = seen.sort_values(["toxic", *names])
-    curve = fit_logistic(seen[names].to_numpy(float), seen["toxic"].to_numpy(float))
+    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands_for = seen["toxic"].map({t: n / min(n, sample) for t, n in labelled.items()})
+    curve = fit_logistic(seen[names].to_numpy(float), seen["toxic"].to_numpy(float), weight=stands_for.to_numpy(float))
     return counts, keys, weights, curve
 
 

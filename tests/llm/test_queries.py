@@ -277,6 +277,14 @@ def test_toxicity(spark):
     assert as_dict(toxicity.score(docs, flipped), "predicted") == {i: (p,) for i, (_, _, p) in found.items()}
 
 
+def test_sample_keeps_the_share_of_labels(spark):
+    docs = spark.createDataFrame([(i, "texts that tell nothing") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    for sample in (8000, 30):
+        found = as_dict(toxicity.score(docs, labels, sample), "score", "predicted")
+        assert all(0.05 < s < 0.2 and p == 0 for s, p in found.values()), sample
+
+
 def test_lm_scores(docs):
     found = as_dict(pseudolm.score(docs), "n_words", "log_prob", "per_word")
     for i, text in corpus():

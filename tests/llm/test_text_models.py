@@ -236,6 +236,16 @@ def test_spelled_out_phrases():
     assert set(model._likely(letters, gaps)) == likely and len(likely) < len(total) - 1
 
 
+def test_weighted_fit_is_that_of_all_rows():
+    rng = np.random.default_rng(6)
+    y = (np.arange(9000) % 9 == 0).astype(float)
+    x = rng.normal(0, 1, (9000, 2)) + y[:, None]
+    every = toxicity.fit_logistic(x, y)
+    some = np.concatenate([np.flatnonzero(y == 1), np.flatnonzero(y == 0)[:1000]])
+    weighted = toxicity.fit_logistic(x[some], y[some], weight=np.where(y[some] == 1, 1.0, 8.0))
+    assert np.abs(weighted - every).max() < 0.3 < 1.5 < toxicity.fit_logistic(x[some], y[some])[0] - every[0]
+
+
 def test_trigrams_count_borders():
     counts = toxicity.trigram_counts(["ab", " b", ""]).reshape((toxicity.SIZE,) * 3)
     a, b = toxicity.SYMBOL["a"], toxicity.SYMBOL["b"]
