@@ -1,15 +1,19 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network (operator 3).
 
 1. Words of all documents are counted; the ``KNOWN`` most frequent (ties by word) get numbers of their own,
-   in order of frequency, all others share ``OTHERS`` numbers by hash. What is gathered grows with the corpus;
-   the driver sees only the frequent words.
+   in order of frequency, all others share ``OTHERS`` numbers by hash. The counts of all words stay a table,
+   which grows with the corpus; the driver sees only the frequent words and a total for each shared number.
 2. The network sees ``REACH`` words on either side of a masked one: embeddings, one tanh layer, and the number
    of the word as three digits in base 16, each given those before it, so a prediction costs 48 outputs
    instead of 4,096 and still is a distribution over all numbers.
 3. It is trained in numpy over all documents: each task runs stochastic gradient descent over its rows from
    the common start, and the parameters are averaged, weighted by words, as grouped sums; ``ROUNDS`` times.
    Only the average, whose size is that of the network, reaches the driver.
-4. A document's score is the sum of the log-probabilities of its words, each given both sides.
+4. A document's score is the sum of the log-probabilities of its words, each given both sides. That of a word
+   with a shared number is the network's for the number plus that of the word among all that share it, from
+   the table of counts: n / (total + 1), the one being for all words never counted. Words of documents and
+   counts meet by shuffle; a word outside the ``KNOWN`` has at most one in ``KNOWN`` of all words, so no task
+   gets much of them.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and score 0.0 (null per word); null ids and
 repeated rows are scored like others and counted in training; extra columns are ignored; an empty table
@@ -20,11 +24,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm.storage import cut_lineage
-from cladeflow.llm.textops import Words, as_column, buffer, chunks, small_batches
+from cladeflow.llm.textops import BYTE_CODES, Hasher, Words, as_column, buffer, chunks, small_batches
 
 KNOWN = 3072
 OTHERS = 1024
@@ -37,7 +42,6 @@ BATCH = 4096
 ROUNDS = 1
 RATE = 0.05
 FLUSH = 300_000
-SCHEMA = "doc_id long, n_words long, log_prob double, per_word double"
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
@@ -157,8 +161,8 @@ def windows(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     return context, numbers, words
 
 
-def frequent_words(docs: DataFrame, known: int = KNOWN) -> list[str]:
-    """The most frequent words of all documents; counts are summed per task before they are shuffled."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) of all documents; counts are summed per task before they are shuffled."""
 
     def run(batches):
         from collections import Counter
@@ -179,17 +183,46 @@ def frequent_words(docs: DataFrame, known: int = KNOWN) -> list[str]:
             yield out(total)
 
     counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return cut_lineage(counts)
+
+
+def frequent_words(counts: DataFrame, known: int = KNOWN) -> list[str]:
+    """The most frequent words."""
     # each task's share of the best goes to one other task, not to the driver
     top = cut_lineage(counts.orderBy(F.desc("n"), "word").limit(known)).toPandas()
     top = top.sort_values(["n", "word"], ascending=[False, True])
     return [bytes(w).decode() for w in top["word"]]
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[str], np.ndarray]:
-    """The frequent words and the parameters."""
+def rare_words(counts: DataFrame, words: list[str]) -> tuple[np.ndarray, DataFrame]:
+    """Of the words that are not among ``words``: the total count by shared number, and (key, n) by hash."""
+    shared = counts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        vocabulary = Vocabulary(shared.value)
+        for batch in batches:
+            data, offsets = buffer(batch.column("word").cast(pa.large_binary()))
+            hashes = Hasher(BYTE_CODES[data]).ranges(offsets[:-1], offsets[1:])
+            numbers = vocabulary(hashes)
+            rare = numbers >= KNOWN
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes[rare].view(np.int64)), pa.array(numbers[rare] - KNOWN), batch.column("n").filter(pa.array(rare))],
+                ["key", "shared", "n"],
+            )
+
+    rare = cut_lineage(counts.mapInArrow(run, "key long, shared long, n long"))
+    sums = rare.groupBy("shared").agg(F.sum("n").alias("n")).toPandas()
+    totals = np.zeros(OTHERS, np.int64)
+    totals[sums["shared"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    return totals, rare.select("key", "n")
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[str], np.ndarray, np.ndarray, DataFrame]:
+    """The frequent words, the parameters, and what ``rare_words`` gives."""
     spark = docs.sparkSession
     small_batches(spark)
-    words = frequent_words(docs)
+    counts = count_words(docs)
+    words = frequent_words(counts)
     flat = Network().flat
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((words, flat))
@@ -219,27 +252,51 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> tuple[li
         if len(mean):
             flat = flat.copy()
             flat[mean["at"].to_numpy(np.int64)] = mean["value"].to_numpy(np.float32)
-    return words, flat
+    return words, flat, *rare_words(counts, words)
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, DataFrame] | None = None) -> DataFrame:
     """(doc_id, n_words, log_prob, per_word) of every row; the model is trained on ``docs`` if not given."""
-    shared = docs.sparkSession.sparkContext.broadcast(model if model is not None else train(docs))
+    *flat, counts = model if model is not None else train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(flat)
     small_batches(docs.sparkSession)
 
     def run(batches):
         vocabulary, net = Vocabulary(shared.value[0]), Network(shared.value[1])
+        among = -np.log(shared.value[2] + 1.0)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch):
                 context, word, words = windows(as_column(part.column("text")), vocabulary)
                 found = [net.log_probs(context[a : a + BATCH], word[a : a + BATCH]) for a in range(0, len(word), BATCH)]
-                total = np.append(0.0, np.cumsum(np.concatenate(found) if found else np.zeros(0)))
+                found = np.concatenate(found) if found else np.zeros(0)
+                rare = word >= KNOWN
+                found[rare] += among[word[rare] - KNOWN]
+                total = np.append(0.0, np.cumsum(found))
                 sums = total[words.first[1:]] - total[words.first[:-1]]
-                n = words.counts.astype(np.int64)
-                each = sums / np.maximum(n, 1)
+                keys = words.bytes.ranges(words.starts[rare], words.ends[rare]).view(np.int64)
+                first = np.append(0, np.cumsum(rare))[words.first]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(sums), pa.array(each, mask=n == 0)],
-                    ["doc_id", "n_words", "log_prob", "per_word"],
+                    [
+                        pa.array(np.arange(number, number + part.num_rows)),
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array(words.counts.astype(np.int64)),
+                        pa.array(sums),
+                        pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys)),
+                    ],
+                    ["row", "doc_id", "n_words", "log_prob", "rare"],
                 )
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                number += part.num_rows
+
+    # log_prob is still without the counts of the rare words, the logarithm of which is 0 for those seen once
+    rows = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, rare array<bigint>")
+    rows = cut_lineage(rows)
+    more = rows.select("row", F.explode("rare").alias("key")).join(counts.where("n > 1"), "key")
+    more = more.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    return (
+        rows.drop("rare")
+        .join(more, "row", "left")
+        .select("doc_id", "n_words", log_prob.alias("log_prob"))
+        .withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+    )

@@ -2,15 +2,18 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cladeflow.llm import bpe, chat, edits, fingerprints, jaccard, packing, pseudolm, quality, registry, substrings, toxicity
+from cladeflow.llm.textops import as_column
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part long, row long, comp long, sig long"
@@ -292,6 +295,31 @@ def test_lm_scores(docs):
         assert found[i][0] == n and (found[i][1] < 0) == (n > 0) and (found[i][2] is None) == (n == 0)
 
 
+def test_rare_words_have_their_own_probability(spark):
+    texts = ["one two two three three three", "four four four four two", "", None, "five one  six"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts])], "doc_id long, text string")
+    counts = collections.Counter(w for t in texts for w in (t or "").split() for _ in range(2))
+    table = pseudolm.count_words(docs)
+    assert {bytes(r["word"]).decode(): r["n"] for r in table.collect()} == counts
+    net, known = pseudolm.Network(), ["four"]
+    model = known, net.flat, *pseudolm.rare_words(table, known)
+    vocabulary = pseudolm.Vocabulary(known)
+
+    def expected(text, counts):
+        context, number, _ = pseudolm.windows(as_column(pa.array([text])), vocabulary)
+        total = net.log_probs(context, number).sum() if len(number) else 0.0
+        of = {w: pseudolm.windows(as_column(pa.array([w])), vocabulary)[1][0] for w in {*counts, *(text or "").split()}}
+        for w in (text or "").split():
+            if w not in known:
+                total += math.log(max(1, counts[w]) / (1 + sum(n for v, n in counts.items() if of[v] == of[w])))
+        return total
+
+    for i, (p,) in as_dict(pseudolm.score(docs, model), "log_prob").items():
+        assert p == pytest.approx(expected([*texts, *texts][i], counts), abs=1e-4)
+    new = spark.createDataFrame([(1, "one never seen four")], "doc_id long, text string")
+    assert pseudolm.score(new, model).collect()[0]["log_prob"] == pytest.approx(expected("one never seen four", counts), abs=1e-4)
+
+
 def test_quality_filter(docs):
     found = as_dict(quality.quality(docs), "base_failed", "kept")
     kept = {r["doc_id"] for r in quality.filter_quality(docs).collect()}
