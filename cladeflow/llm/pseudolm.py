@@ -39,7 +39,7 @@ WIDTH = 8
 HIDDEN = 32
 BASE = 16
 BATCH = 4096
-ROUNDS = 1
+ROUNDS = 2
 RATE = 0.05
 FLUSH = 300_000
 

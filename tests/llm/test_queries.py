@@ -295,6 +295,14 @@ def test_lm_scores(docs):
         assert found[i][0] == n and (found[i][1] < 0) == (n > 0) and (found[i][2] is None) == (n == 0)
 
 
+def test_training_goes_on_from_the_average(spark):
+    text = "red fish blue fish one fish two fish " * 300
+    docs = spark.createDataFrame([(k, text) for k in range(8)], "doc_id long, text string").repartition(4)
+    context, word, _ = pseudolm.windows(as_column(pa.array([text])), pseudolm.Vocabulary(pseudolm.train(docs, rounds=0)[0]))
+    once, usual = (pseudolm.Network(pseudolm.train(docs, **n)[1]).log_probs(context, word).mean() for n in ({"rounds": 1}, {}))
+    assert usual > once + 0.01
+
+
 def test_rare_words_have_their_own_probability(spark):
     texts = ["one two two three three three", "four four four four two", "", None, "five one  six"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts])], "doc_id long, text string")
