@@ -10,8 +10,9 @@ number of them runs at once, and each wastes at most part of one sequence more t
 
 The ids are those of ``tokenizers`` for the given file. Where the file is plain byte-level BPE whose ids
 follow its merges, as is checked when it is read, the same ids are computed by rank with tiktoken, which is
-about fifteen times faster; pre-tokens repeat and are kept in a table. Token ids never leave the worker: a
-piece is a row of numbers.
+about fifteen times faster; pre-tokens repeat and are kept in a table. Added tokens of the file are found first,
+as ``tokenizers`` finds them: texts that hold one are its own work. Token ids never leave the worker: a piece is
+a row of numbers.
 
 Null and empty texts are one piece holding the closing id. Null ids and repeated rows are pieces like any
 other. Extra columns are ignored. An empty table gives no rows.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -70,28 +72,39 @@ def by_rank(model: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids of many texts by a ``tokenizers`` file."""
+    """Ids of many texts by a ``tokenizers`` file; added: whether its added tokens are looked for in the texts."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, added: bool = False):
         spec = json.loads(content)
         step = spec.get("pre_tokenizer") or {}
         plain = spec.get("normalizer") is None and step.get("type") == "ByteLevel" and not step.get("add_prefix_space")
         ranks = by_rank(spec["model"]) if plain and step.get("use_regex", True) and not spec["model"].get("dropout") else None
-        self.cache = self.tokenizer = None
+        self.cache = self.tokenizer = self.holds_added = None
+        tokens = spec.get("added_tokens") or []
         if ranks:
             import tiktoken
 
             encoding = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
             self.cache = PreTokenCache(lambda texts: [encoding.encode_ordinary(t) for t in texts])
-        else:
+            if added and tokens:
+                self.holds_added = re.compile("|".join(re.escape(t["content"]) for t in tokens)).search
+        if not ranks or self.holds_added:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(content.decode())
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.encode_special_tokens = not added
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.cache is not None:
-            return self.cache.ids(Pieces(texts))
+            held = [k for k, t in enumerate(texts) if self.holds_added(t)] if self.holds_added else []
+            if not held:
+                return self.cache.ids(Pieces(texts))
+            rest = set(held)
+            flat, first = self.cache.ids(Pieces(["" if k in rest else t for k, t in enumerate(texts)]))
+            ids = [flat[a:b] for a, b in zip(first[:-1], first[1:])]
+            for k, e in zip(held, self.tokenizer.encode_batch([texts[k] for k in held], add_special_tokens=False)):
+                ids[k] = np.array(e.ids, np.int32)
+            return np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids]))
         ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         first = np.zeros(len(ids) + 1, np.int64)
         np.cumsum([len(x) for x in ids], out=first[1:])
@@ -105,7 +118,7 @@ def encoder(content: bytes) -> Encoder:
     key = zlib.crc32(content)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(content)
+        _encoders[key] = Encoder(content, added=True)
     return _encoders[key]
 
 

@@ -301,6 +301,20 @@ def test_vocabulary_file_by_rank():
     assert encoder(texts)[0].tolist() == ids.tolist()
 
 
+def test_added_tokens_are_those_of_the_library():
+    content = packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_str(content.decode()), packing.encoder(content)
+    assert encoder.cache is not None
+    for texts in (MORE, [*MORE, "<|endoftext|> x", "a<|endoftext|><|endoftext|>", "<|endoftext|", "", "b  <|endoftext|>  c"]):
+        ids, first = encoder(texts)
+        assert len(first) == len(texts) + 1
+        for i, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert ids[first[i] : first[i + 1]].tolist() == e.ids
+    assert encoder(["<|endoftext|> x"])[0].tolist() == [50256, 2124]
+
+
 def test_cuts():
     assert packing.cut_points(1, 8) == [(0, 1)]
     assert packing.cut_points(8, 8) == [(0, 8)]
