@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cladeflow.llm.storage import cut_lineage, release
 from cladeflow.llm.textops import BYTE_CODES, Hasher, Words, as_column, buffer, chunks, mix, small_batches
@@ -417,38 +418,63 @@ def class_components(docs: DataFrame, members: DataFrame, size: int, num: int, d
         release(docs.sparkSession)
 
 
+def _with_classes(docs: DataFrame, size: int) -> DataFrame:
+    """All columns of ``docs``, the number of shingles ``_n`` and the class ``_cls``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                elements, first = shingle_sets(as_column(part.column("text")), size)
+                more = [pa.array(np.diff(first)), pa.array(class_numbers(elements, first))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "_n", "_cls"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("_n", LongType()), StructField("_cls", LongType())]))
+
+
 def join_components(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of ``docs`` (doc_id, text)."""
+    return _components(docs, size, num, den).drop("component")
+
+
+def _components(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """As ``join_components``, with a number of the component that is there for null ids too."""
     small_batches(docs.sparkSession)
     members = cut_lineage(_members(docs, size))
     comps = class_components(docs, members, size, num, den)
     classes = members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     if comps is None:
-        named = classes.select("cls", F.col("least").alias("component_id"))
+        named = classes.select("cls", F.col("least").alias("component_id"), F.col("cls").alias("component"))
     else:
         named = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "component", F.coalesce("component", "cls")
         )
         least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = named.join(least, "component").select("cls", "component_id")
+        named = named.join(least, "component").select("cls", "component_id", "component")
     return members.join(named, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("cls").alias("class_id"),
+        "component",
     )
 
 
 def keep_one_each(docs: DataFrame, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row of each component, that with its smallest id; all columns unchanged. Rows without words stay."""
-    found = cut_lineage(join_components(docs, size, num, den))
-    drops = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    n_drops, n_rows, n_ids = drops.count(), found.count(), found.select("doc_id").distinct().count()
-    kept = docs.join(F.broadcast(drops) if n_drops <= BROADCAST_ROWS else drops, "doc_id", "left_anti").select(*docs.columns)
-    if n_ids < n_rows:  # rows of one id and one text
-        has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        kept = kept.where(~has_word).unionByName(kept.where(has_word).dropDuplicates(["doc_id", "text"]))
-    return kept
+    """One row of each component, that with its smallest id, a null one if there is no other; all columns unchanged.
+    Rows without words stay. Of rows of one id and different texts, each is judged by its own text."""
+    found = cut_lineage(_components(docs, size, num, den))
+    n_rows, n_ids = found.count(), found.where("doc_id is not null").select("doc_id").distinct().count()
+    if n_ids == n_rows:
+        drops = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        n_drops = drops.count()
+        return docs.join(F.broadcast(drops) if n_drops <= BROADCAST_ROWS else drops, "doc_id", "left_anti").select(*docs.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id"))
+    best = found.where("n_shingles > 0").groupBy("component").agg(best.alias("best"))
+    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.class_id").alias("_class"))
+    rows = _with_classes(docs, size)
+    each = rows.where("_n > 0").dropDuplicates(["doc_id", "_cls"])  # merged per task before the shuffle
+    each = each.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_cls") == F.col("_class")), "left_semi")
+    return rows.where("_n = 0").unionByName(each).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -160,6 +160,22 @@ def test_join_components(spark, rows):
     assert len(set(c for _, c in want.values())) < len(want)
 
 
+def test_each_component_keeps_one_row(spark):
+    def text(k):
+        return " ".join("t%d_%d" % (k, i) for i in range(12))
+
+    rows = [
+        (3, text(1)), (5, text(1)), (5, text(2)), (5, text(2)),  # id 5 is a copy of 3, and alone with another text
+        (None, text(3)), (7, text(3)), (None, text(4)), (None, text(4)), (None, text(5)),
+        (None, None), (None, None), (9, " "), (9, " "),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    kept = jaccard.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    want = [(3, text(1)), (5, text(2)), (7, text(3)), (None, text(4)), (None, text(5)), (None, None), (None, None), (9, " "), (9, " ")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(want)
+
+
 def test_signatures_never_miss_a_link():
     import numpy as np
 
