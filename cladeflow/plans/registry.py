@@ -414,7 +414,9 @@ def _two_phase(rows: DataFrame, edges: DataFrame) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    found = edges.orderBy("edge").limit(equalrates.MAX_EDGES).collect()
+    found = edges.orderBy("edge").limit(equalrates.MAX_EDGES + 1).collect()
+    if len(found) > equalrates.MAX_EDGES:
+        raise ValueError("too many edges for one table")
     tables = [equalrates.tables([tuple(r) for r in found], p, t) for p, t in ((0.5, DEFAULT_LENGTH), (0.25, 0.5))]
     shared = rows.sparkSession.sparkContext.broadcast((np.array([r["edge"] for r in found]), *tables))
 

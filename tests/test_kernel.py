@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cladeflow.functions import likelihood as L
 from cladeflow.functions import models as M
 from cladeflow.functions.trees import DEFAULT_LENGTH, Tree, parse_newick
-from cladeflow.operators import placement
-from cladeflow.plans import inputs
+from cladeflow.operators import equalrates, placement
+from cladeflow.plans import inputs, registry
 from cladeflow.plans.registry import small_reference
 from cladeflow.sources import jplace, packed, sequences, store
 from cladeflow.streaming import stream
@@ -153,6 +153,16 @@ def test_options():
         placement.Options(filter_min=9)
 
 
+def test_too_many_edges_are_not_dropped(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, "ACGT", "ACGA", 0.1) for k in range(3)], "edge long, lower string, upper string, length double")
+    rows = spark.createDataFrame([(1, "ACGT")], "seq_id long, sites string")
+    monkeypatch.setattr(equalrates, "MAX_EDGES", 3)
+    assert registry._two_phase(rows, edges).count() > 0
+    monkeypatch.setattr(equalrates, "MAX_EDGES", 2)
+    with pytest.raises(ValueError):
+        registry._two_phase(rows, edges)
+
+
 def test_store(spark, tmp_path, reference):
     rows = {f"N{r['edge']}": r["lower"] for r in inputs.edge_sequences(spark, SF).where("edge < 8").collect()}
     store.save(spark, reference, rows, reference.tree.newick().replace("{", "[").replace("}", "]"), str(tmp_path / "s"))
