@@ -8,7 +8,9 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,15 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def one_thread() -> None:
+    """Keep this worker's matrix products on one core: as many workers run as there are cores, and numpy's BLAS
+    otherwise starts threads in each that wait for each other, which costs several times the time."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        limit = getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None)
+        if limit is not None:
+            limit(1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser; works in place on its argument when that is a fresh array."""
     x = x ^ (x >> np.uint64(32))
@@ -120,6 +131,29 @@ def chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.Recor
         start = end
 
 
+def all_chunks(batches) -> Iterator[pa.RecordBatch]:
+    """The chunks of all batches of a task; what they took is then given back."""
+    for batch in batches:
+        yield from chunks(batch)
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system: workers live on after a task, beside those of others."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """A column name that is not taken; names differ in more than case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of every row: byte ranges, row numbers, and row offsets into them."""
 

@@ -58,18 +58,42 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def likeness(a, b):
+    """Of two fingerprints: the share of (distance, k-mer) entries in common."""
+    a, b = ({f[k : k + 10] for k in range(0, len(f), 10)} for f in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def test_fingerprint_edits(docs):
     rows = sorted(corpus(), reverse=True)
-    found = as_dict(fingerprints.fingerprint_edits(docs, rows_per_part=11), "n_chars", "edited_sha256", "near_edited", "near_next", "fingerprint")
-    assert len(found) == len(rows)
-    for k, (i, text) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1] or ""
-        text = text or ""
-        n_chars, digest, near, _, own = found[i]
-        assert n_chars == len(text) and digest == sha(fingerprints.edited(text, following))
-        assert own == fingerprints.Anchors.of([text]).strings()[0]
-        if len(text) > 300:
-            assert near > 0.4
+    names = "n_chars", "edited_sha256", "near_edited", "near_next", "fingerprint", "edited_fingerprint"
+    own = {i: fingerprints.Anchors.of([t or ""]).strings()[0] for i, t in rows}
+    for rows_per_part in (11, 1, 1000):
+        found = as_dict(fingerprints.fingerprint_edits(docs, rows_per_part=rows_per_part), *names)
+        assert len(found) == len(rows)
+        for k, (i, text) in enumerate(rows):
+            after, following = rows[(k + 1) % len(rows)]
+            text, following = text or "", following or ""
+            changed = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+            other = fingerprints.Anchors.of([changed]).strings()[0]
+            near = pytest.approx(likeness(own[i], other)), pytest.approx(likeness(own[i], own[after]))
+            assert found[i] == (len(text), sha(changed), *near, own[i], other)
+
+
+def test_ranges_are_even_and_hold_all_ids(spark):
+    import numpy as np
+
+    ids = [*range(0, 10**6, 997), *([5] * 300), -(2**63), 2**63 - 1, None, None]
+    table = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for n_parts in (1, 2, 30):
+        bounds = fingerprints.range_bounds(table, len(ids), n_parts)
+        part = fingerprints._range_of(spark.sparkContext.broadcast(bounds))
+        found = table.select("doc_id", part("doc_id").alias("part")).collect()
+        for r in found:
+            assert r["part"] == (len(bounds) + 1 if r["doc_id"] is None else int((bounds > r["doc_id"]).sum()))
+        sizes = collections.Counter(r["part"] for r in found if r["doc_id"] != 5)
+        assert n_parts == 1 or max(sizes.values()) < 4 * len(ids) / n_parts
+    assert not len(fingerprints.range_bounds(table.where("doc_id is null"), 2, 2)) and isinstance(bounds, np.ndarray)
 
 
 def test_single_row_follows_itself(spark):
@@ -95,9 +119,24 @@ def test_substring_removal(docs):
 
 def test_split_anchors_change_nothing(docs, monkeypatch):
     want = as_dict(substrings.repeats(docs), "n_removed", "kept_sha256")
-    monkeypatch.setattr(substrings, "SPLIT", 1)
-    monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
-    assert as_dict(substrings.repeats(docs), "n_removed", "kept_sha256") == want
+    for split in (1, 2):
+        monkeypatch.setattr(substrings, "SPLIT", split)
+        monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
+        assert as_dict(substrings.repeats(docs), "n_removed", "kept_sha256") == want
+
+
+def test_removal_without_ids_and_with_clashing_columns(spark):
+    words = [" ".join("q%d_%d" % (k, i) for i in range(25)) for k in range(3)]
+    rows = [(None, words[0]), (None, words[0]), (None, words[1]), (4, words[1] + " more"), (4, words[2]), (4, words[2]), (9, words[2])]
+    names = "doc_id long, text string, firsts int, key int, key_ int, anchor int, bits int, n_chars int"
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, len(t)) for i, t in rows], names).repartition(3)
+    # texts without ids come last; rows of one id, or of none and equal texts, are one document
+    want = [(None, words[0]), (None, words[0]), (None, ""), (4, words[1] + " more"), (4, words[2]), (4, words[2]), (9, "")]
+    found = substrings.remove_repeats(docs)
+    assert found.columns == docs.columns
+    rows = [tuple(r) for r in found.collect()]
+    assert collections.Counter((r[0], r[1]) for r in rows) == collections.Counter(want)
+    assert all(r[2:7] == (1, 2, 3, 4, 5) and r[7] == len(r[1]) for r in rows)
 
 
 def test_fm_index():
@@ -105,13 +144,48 @@ def test_fm_index():
 
     rng = random.Random(7)
     rows = [[rng.randint(1, 4) for _ in range(rng.randint(3, 30))] for _ in range(20)]
-    flat, first = np.array([x for r in rows for x in r]), np.cumsum([0, *map(len, rows)])
-    index = substrings.FMIndex(flat, first)
-    for _ in range(200):
-        pattern = [rng.randint(1, 4) for _ in range(rng.randint(1, 6))]
-        low, high, matched = index.search(np.array(pattern), np.array([0]), np.array([len(pattern)]))
-        count = sum(r[k : k + len(pattern)] == pattern for r in rows for k in range(len(r)))
-        assert (high[0] - low[0] if matched[0] == len(pattern) else 0) == count
+    flat, first = np.array([x for r in rows for x in r], np.int32), np.cumsum([0, *map(len, rows)])
+    places = np.random.default_rng(1).permutation(len(flat))
+    for width in (1, 2, 3, 5, 8):
+        index = substrings.FMIndex(flat, first, width, places)
+        for _ in range(100):
+            pattern = [rng.randint(1, 4) for _ in range(rng.randint(1, 6))]
+            low, high, matched = index.search(np.array(pattern), np.array([0]), np.array([len(pattern)]))
+            count = sum(r[k : k + len(pattern)] == pattern for r in rows for k in range(len(r)))
+            assert (high[0] - low[0] if matched[0] == len(pattern) else 0) == count
+        at = collections.defaultdict(list)
+        for k, r in enumerate(rows):
+            for j in range(len(r) - width + 1):
+                at[tuple(r[j : j + width])].append(int(first[k]) + j)
+        want = {p: min(places[q] for q in own) for own in at.values() if len(own) > 1 for p in own}
+        found = {}
+        for begin, least in index.reports(flat, first):
+            assert not found.keys() & set(begin.tolist())
+            found.update(zip(begin.tolist(), least.tolist()))
+        assert found == want
+
+
+def test_index_finds_repeated_windows():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(40):
+        width, passages = rng.randint(2, 6), []
+        for doc in range(rng.randint(1, 8)):
+            words = [rng.randint(1, 3) for _ in range(rng.randint(width, 14))]
+            passages.append((rng.randint(0, 5), rng.randint(0, 3), words))
+        codes = np.array([w * 977 for *_, words in passages for w in words], np.uint64)
+        first = np.cumsum([0, *(len(w) for *_, w in passages)])
+        docs, starts = np.array([p[0] for p in passages]), np.array([p[1] for p in passages])
+        least = {}
+        for doc, start, words in passages:
+            for j in range(len(words) - width + 1):
+                window = tuple(words[j : j + width])
+                least[window] = min(least.get(window, (99, 99)), (doc, start + j))
+        found = substrings.repeated_windows(codes, first, docs, starts, width)
+        for bits, (doc, start, words) in zip(found.tolist(), passages):
+            own = [least[tuple(words[j : j + width])] < (doc, start + j) for j in range(len(words) - width + 1)]
+            assert [bool(bits >> j & 1) for j in range(len(own))] == own
 
 
 def brute_components(rows, size=4):
@@ -176,6 +250,54 @@ def test_each_component_keeps_one_row(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(want)
 
 
+def test_large_buckets_meet_in_chunks(spark):
+    rows = corpus(4, 120) + near_copies(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    for chunk in (1, 3):
+        found, _ = jaccard._components(docs, 4, 85, 100, chunk)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    for chunks in (1, 2, 4, 8, 16):
+        order = jaccard.phases(chunks)
+        assert sorted(order) == list(range(chunks))
+        met = collections.Counter((min(c, c ^ t), max(c, c ^ t)) for t in order for c in range(chunks))
+        assert len(met) == chunks * (chunks + 1) // 2
+
+
+def test_links_of_rows_without_ids(spark):
+    words = ["n%d" % i for i in range(61)]
+    other, third = ["m%d" % i for i in range(61)], ["k%d" % i for i in range(61)]
+    rows = [
+        (7, " ".join(words) + " q"), (None, " ".join(words)), (None, " ".join(words)),
+        (None, " ".join(other)), (None, " ".join(other) + " q"),
+        (8, " ".join(third)), (8, " ".join(third) + " q"), (3, " ".join(third) + " z"),
+    ]
+    for own, want in (
+        (rows, [(7, 7), (None, 7), (None, 7), (None, None), (None, None), (8, 3), (8, 3), (3, 3)]),
+        (rows[3:5], [(None, None)] * 2),
+    ):
+        docs = spark.createDataFrame(own, "doc_id long, text string").repartition(2)
+        found = [(r["doc_id"], r["component_id"]) for r in jaccard.join_components(docs).collect()]
+        assert collections.Counter(found) == collections.Counter(want)
+    kept = jaccard.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 3 and {(r["doc_id"], r["text"]) for r in kept} >= {(7, rows[0][1]), (3, rows[7][1])}
+
+
+def test_clashing_class_numbers_change_nothing(spark, monkeypatch):
+    import numpy as np
+
+    rows = near_copies(9)[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    members, clashes = jaccard.members_of(docs, 4)
+    assert not len(clashes)
+    old = {r["doc_id"]: r["cls"] for r in members.collect()}
+    clashes = np.sort(np.array(list(old.values())[::2]))
+    new = jaccard._members(docs, 4, clashes)
+    assert all((old[r["doc_id"]] != r["cls"]) == (old[r["doc_id"]] in clashes) for r in new.collect())
+    monkeypatch.setattr(jaccard, "members_of", lambda docs, size: (new, clashes))
+    assert as_dict(jaccard.join_components(docs), "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_signatures_never_miss_a_link():
     import numpy as np
 
@@ -311,37 +433,96 @@ def test_lm_scores(docs):
         assert found[i][0] == n and (found[i][1] < 0) == (n > 0) and (found[i][2] is None) == (n == 0)
 
 
+def plain_scores(rows, rounds, shard_words):
+    """The whole of operator 3 by loops over (key, id, text), all of whose words have numbers of their own."""
+    import numpy as np
+
+    counts = collections.Counter(w for *_, t in rows for w in (t or "").split())
+    number = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w.encode())))}
+    assert len(number) <= pseudolm.KNOWN
+    shards = max(1, math.ceil(sum(counts.values()) / shard_words))
+
+    def windows(text):
+        own, edge = [number[w] for w in (text or "").split()], [pseudolm.SIZE] * pseudolm.REACH
+        padded = edge + own + edge
+        return [([*padded[k : k + len(edge)], *padded[k + 1 + len(edge) : k + 1 + 2 * len(edge)]], n) for k, n in enumerate(own)]
+
+    flat = pseudolm.Network().flat
+    for r in range(rounds):
+        total = 0
+        for shard in range(shards):
+            net, own = pseudolm.Network(flat.copy()), [w for key, _, t in sorted(rows) if key % shards == shard for w in windows(t)]
+            for a in range(0, len(own), pseudolm.BATCH):
+                context, word = (np.array(x) for x in zip(*own[a : a + pseudolm.BATCH]))
+                net.learn(context, word, pseudolm.RATE / (r + 1))
+            total = total + net.flat.astype(float) * len(own)
+        flat = (total / sum(counts.values())).astype(np.float32)
+    net = pseudolm.Network(flat)
+    return {i: sum(float(net.log_probs(np.array([c]), np.array([w]))[0]) for c, w in windows(t)) for _, i, t in rows}
+
+
+def test_lm_is_its_restatement_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "SHARD_WORDS", 3000)
+    rows = [(i, t) for i, t in corpus(5, 90) if t and "loop" in t or len((t or "").split()) < 400]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["doc_id"]: r["key"] for r in docs.select("doc_id", F.xxhash64("text", "doc_id").alias("key")).collect()}
+    want = plain_scores([(keys[i], i, t) for i, t in rows], pseudolm.ROUNDS, 3000)
+    for parts in (1, 5):
+        found = as_dict(pseudolm.score(docs.repartition(parts)), "log_prob")
+        for i, (p,) in found.items():
+            assert p == pytest.approx(want[i], rel=1e-4, abs=1e-3)
+
+
 def test_training_goes_on_from_the_average(spark):
     text = "red fish blue fish one fish two fish " * 300
     docs = spark.createDataFrame([(k, text) for k in range(8)], "doc_id long, text string").repartition(4)
-    context, word, _ = pseudolm.windows(as_column(pa.array([text])), pseudolm.Vocabulary(pseudolm.train(docs, rounds=0)[0]))
-    once, usual = (pseudolm.Network(pseudolm.train(docs, **n)[1]).log_probs(context, word).mean() for n in ({"rounds": 1}, {}))
-    assert usual > once + 0.01
+    found = {}
+    for rounds in (1, pseudolm.ROUNDS):
+        model, _ = pseudolm.fit(docs, rounds)
+        assert model.words == [b"fish", b"blue", b"one", b"red", b"two"] and model.counts.tolist() == [9600, *[2400] * 4]
+        found[rounds] = pseudolm.score(docs, model).agg(F.sum("log_prob")).first()[0] / 19200
+    assert found[pseudolm.ROUNDS] > found[1] + 0.01
 
 
 def test_rare_words_have_their_own_probability(spark):
+    import numpy as np
+
     texts = ["one two two three three three", "four four four four two", "", None, "five one  six"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *texts])], "doc_id long, text string")
     counts = collections.Counter(w for t in texts for w in (t or "").split() for _ in range(2))
     table = pseudolm.count_words(docs)
     assert {bytes(r["word"]).decode(): r["n"] for r in table.collect()} == counts
-    net, known = pseudolm.Network(), ["four"]
-    model = known, net.flat, *pseudolm.rare_words(table, known)
-    vocabulary = pseudolm.Vocabulary(known)
-
-    def expected(text, counts):
-        context, number, _ = pseudolm.windows(as_column(pa.array([text])), vocabulary)
-        total = net.log_probs(context, number).sum() if len(number) else 0.0
-        of = {w: pseudolm.windows(as_column(pa.array([w])), vocabulary)[1][0] for w in {*counts, *(text or "").split()}}
-        for w in (text or "").split():
-            if w not in known:
-                total += math.log(max(1, counts[w]) / (1 + sum(n for v, n in counts.items() if of[v] == of[w])))
+    of = lambda w: int(pseudolm.word_hashes(pa.array([w.encode()], pa.large_binary()))[0] % 1024)
+    model = pseudolm.count_model(docs, 1)  # all words but one are looked up by the join
+    assert model.words == [b"four"] and model.rest.count() == 5
+    net = pseudolm.Network(model.flat)
+
+    def expected(text):
+        words, pads, total = (text or "").split(), [pseudolm.SIZE] * 2, 0.0
+        own = [0 if w == "four" else pseudolm.KNOWN + of(w) for w in words]
+        for k, (n, w) in enumerate(zip(own, words)):
+            around = [*(pads + own)[k : k + 2], *(own + pads)[k + 1 : k + 3]]
+            total += float(net.log_probs(np.array([around]), np.array([n]))[0])
+            if n:
+                total += math.log(max(1, counts[w]) / (1 + sum(c for v, c in counts.items() if v != "four" and of(v) == of(w))))
         return total
 
     for i, (p,) in as_dict(pseudolm.score(docs, model), "log_prob").items():
-        assert p == pytest.approx(expected([*texts, *texts][i], counts), abs=1e-4)
+        assert p == pytest.approx(expected([*texts, *texts][i]), abs=1e-4)
     new = spark.createDataFrame([(1, "one never seen four")], "doc_id long, text string")
-    assert pseudolm.score(new, model).collect()[0]["log_prob"] == pytest.approx(expected("one never seen four", counts), abs=1e-4)
+    assert pseudolm.score(new, model).collect()[0]["log_prob"] == pytest.approx(expected("one never seen four"), abs=1e-4)
+
+
+def test_listed_words_of_shared_numbers(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pseudolm, "KNOWN", 1)
+    hashes = pseudolm.word_hashes(pa.array([b"a", b"b", b"c"], pa.large_binary()))
+    totals = np.arange(10, 10 + pseudolm.OTHERS)
+    numbers, more, missing = pseudolm.Vocabulary([b"a", b"b"], np.array([9, 4]), totals)(hashes)
+    shared = (hashes % np.uint64(pseudolm.OTHERS)).astype(int)
+    assert numbers.tolist() == [0, 1 + shared[1], 1 + shared[2]] and missing.tolist() == [False, False, True]
+    assert more == pytest.approx([0.0, math.log(4 / (totals[shared[1]] + 1)), math.log(1 / (totals[shared[2]] + 1))])
 
 
 def test_quality_filter(docs):

@@ -157,7 +157,9 @@ def test_syncmers():
     anchors = fingerprints.Anchors.of(texts)
     for i, text in enumerate(texts):
         assert anchors.positions[anchors.first[i] : anchors.first[i + 1]].tolist() == brute(text)
-    assert anchors.packed[1:, 0].max() <= max(fingerprints.K, 255)
+    gaps = np.diff(anchors.positions)[np.diff(anchors.rows) == 0]
+    assert 0 < gaps.min() and gaps.max() <= fingerprints.K - fingerprints.S
+    assert anchors.packed[1:, 0][np.diff(anchors.rows) == 0].tolist() == gaps.tolist()
     assert fingerprints.Anchors.of([texts[3]]).strings()[0] == anchors.strings()[3]
     changed = [fingerprints.edited(a, b) for a, b in zip(texts, texts[1:])]
     kept = [len(a) - len(a) // 3 for a in texts[:-1]]
@@ -252,6 +254,20 @@ def test_trigrams_count_borders():
     assert counts[0, 0, a] == 1 and counts[0, 0, b] == 1 and counts[0, a, b] == 1 and counts[a, b, 0] == 1
 
 
+def numbers_of(words, texts):
+    """Numbers and contexts of the texts' words, by plain loops."""
+    index = {w: k for k, w in enumerate(words)}
+    numbers, around = [], []
+    for text in texts:
+        own = [index[w] for w in text.split()]
+        padded = [pseudolm.SIZE] * pseudolm.REACH + own + [pseudolm.SIZE] * pseudolm.REACH
+        for k in range(len(own)):
+            window = padded[k : k + 2 * pseudolm.REACH + 1]
+            around.append(window[: pseudolm.REACH] + window[pseudolm.REACH + 1 :])
+        numbers += own
+    return np.array(around), np.array(numbers)
+
+
 def test_network_learns_and_is_a_distribution():
     rng = np.random.default_rng(0)
     net = pseudolm.Network()
@@ -259,24 +275,43 @@ def test_network_learns_and_is_a_distribution():
     every = np.arange(pseudolm.SIZE)
     total = np.exp(net.log_probs(np.repeat(context, len(every), 0), every)).sum()
     assert total == pytest.approx(1, abs=1e-4)
-    text = column(["red fish blue fish one fish two fish " * 40] * 8)
-    vocabulary = pseudolm.Vocabulary(["fish", "red", "blue", "one", "two"])
-    context, word, _ = pseudolm.windows(text, vocabulary)
-    assert set(word.tolist()) == {0, 1, 2, 3, 4} and (context[0, :2] == pseudolm.SIZE).all()
+    words, texts = ["fish", "red", "blue", "one", "two"], ["red fish blue fish one fish two fish " * 40] * 8
+    vocabulary = pseudolm.Vocabulary([w.encode() for w in words], np.arange(9, 4, -1), np.zeros(pseudolm.OTHERS))
+    found = Words(*buffer(column(texts)))
+    word, more, missing = vocabulary(found.hashes())
+    context = pseudolm.contexts(word, found.rows)
+    assert all(np.array_equal(x, y) for x, y in zip((context, word), numbers_of(words, texts)))
+    assert not more.any() and not missing.any()
     before = net.log_probs(context, word).mean()
     for _ in range(60):
         net.learn(context, word, 0.1)
     assert net.log_probs(context, word).mean() > before + 3
 
 
+def test_log_probability_restated():
+    net = pseudolm.Network(seed=4)
+    for part in net.parts.values():
+        part += np.random.default_rng(part.size).normal(0, 0.3, part.shape)
+    p = {k: v.astype(float) for k, v in net.parts.items()}
+    for context, word in (([1, 2, 3, 4], 77), ([5, 4096, 7, 4096], 4000), ([0, 0, 0, 0], 0)):
+        x = np.concatenate([p["embed"][c] for c in context])
+        h = np.tanh(p["inner"].T @ x + p["inner_bias"])
+        a, b, c = word // 256, word // 16 % 16, word % 16
+        logits = (h @ p["outer"]).reshape(3, 16) + [p["first_bias"], p["second_bias"][a], p["third_bias"][16 * a + b]]
+        want = sum(logits[k, d] - np.log(np.exp(logits[k]).sum()) for k, d in enumerate((a, b, c)))
+        assert net.log_probs(np.array([context]), np.array([word]))[0] == pytest.approx(want, abs=1e-4)
+
+
 def test_gradient():
-    net = pseudolm.Network()
-    net.flat[:] = net.flat + np.random.default_rng(1).normal(0, 0.1, len(net.flat)).astype(np.float32)
+    net, rng = pseudolm.Network(), np.random.default_rng(1)
+    net.flat[:] = net.flat + rng.normal(0, 0.1, len(net.flat)).astype(np.float32)
     context, word = np.array([[1, 2, 3, 4], [5, 6, 7, 4096]]), np.array([77, 4000])
     flat = net.flat.copy()
     net.learn(context, word, 0.0)
     slopes = net.slopes.copy()
-    for at in [0, 8, 16, 32769, 33000, 33900, 35500, len(flat) - 1]:
+    assert np.array_equal(net.flat, flat)
+    places = [*rng.choice(np.flatnonzero(slopes), 25, replace=False), *rng.choice(np.flatnonzero(slopes == 0), 3)]
+    for at in places:
         h = 1e-2
         up, down = flat.copy(), flat.copy()
         up[at] += h
@@ -285,6 +320,19 @@ def test_gradient():
         assert slopes[at] == pytest.approx(numeric, abs=2e-3)
 
 
+def test_training_steps_do_not_depend_on_how_rows_arrive():
+    rng = np.random.default_rng(2)
+    n = 20 * pseudolm.BATCH + 77
+    context, word = rng.integers(0, pseudolm.SIZE, (n, 2 * pseudolm.REACH)), rng.integers(0, pseudolm.SIZE, n)
+    whole = pseudolm.Trainer(pseudolm.Network().flat, 0.1)
+    whole.add(context, word)
+    parts = pseudolm.Trainer(pseudolm.Network().flat, 0.1)
+    for a in range(0, n, 9999):
+        parts.add(context[a : a + 9999], word[a : a + 9999])
+    (x, seen), (y, also) = whole.done(), parts.done()
+    assert seen == also == n and np.array_equal(x, y)
+
+
 def test_vocabulary_file_by_rank():
     content = packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     from tokenizers import Tokenizer
