@@ -5,22 +5,27 @@ window that starts earlier, by (doc_id, start).
 
 * Every window has an anchor, the least hashed ``ANCHOR`` words in it, so equal windows have equal anchors.
   Consecutive windows with one anchor form a passage. Copies of a passage are merged in each Arrow batch and
-  then by a grouped minimum; all windows of all but the first copy repeat, and need no search.
-* Of what is left, a passage can only repeat windows of passages with the same anchor. Passages whose anchor
-  has several go to the shard of their anchor; an anchor with more than ``SPLIT`` passages is split, its
-  windows going to shards by their own hash.
-* A shard holds about ``SHARD_WORDS`` words. Over its passages an FM-index is built: suffix array,
-  Burrows-Wheeler transform, wavelet matrix. Passages are streamed against it: backward search in lockstep
-  gives the suffix interval of a whole passage, then, where that has no earlier occurrence, the matching
-  statistics at the end of each window, up to the window's width; a minimum over the interval of the suffix
-  array finds the earliest occurrence.
+  then by a grouped minimum, so that a passage with any number of copies is one row: the index holds its first
+  copy, which all windows of the others repeat. Which of its own windows repeat is for the index to find.
+* A passage can only repeat windows of passages with the same anchor. Passages whose anchor has several go to
+  the shard of their anchor, as text; those whose anchor has no other passage are done.
+* A shard holds about ``SHARD_WORDS`` words. Over its passages an FM-index is built: the Burrows-Wheeler
+  transform in a wavelet matrix, and of the suffix array, which is dropped, the intervals of suffixes that
+  agree in a whole window, each with its earliest place. Passages are streamed against it from their ends,
+  many side by side: backward search gives the interval of the last window, and matching statistics, held at
+  the width of a window, are carried on to the left: one step of backward search adds a word in front, and the
+  interval that agrees in a whole window is that of the word dropped behind. Windows whose interval has an
+  earlier place are reported.
+* An anchor with more than ``SPLIT`` passages could not be searched in one shard. Its windows are merged like
+  passages, by 128-bit hashes and a grouped minimum of their places: all but the first repeat.
 * The windows found, and the starts of first copies, return to their documents by doc_id.
 
 Tables between the steps lie in the shared folder. Texts cross the network twice.
 
-Null and empty texts have no words. Null ids come after all others. Rows with equal ids count as one
-document: a window does not repeat itself in another row of its id. Extra columns are ignored by
-``repeats`` and kept by ``remove_repeats``. An empty table gives no rows.
+Null and empty texts have no words. Null ids stand for ids from 2**62 on, by hash of the text, so they come
+after all others and equal texts without ids count as one document. Rows with equal ids count as one document
+too: a window does not repeat itself in another row of its id. Extra columns are ignored by ``repeats`` and
+kept by ``remove_repeats``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,13 +41,13 @@ from pyspark.sql import functions as F
 
 from cladeflow.llm.storage import cut_lineage, release
 from cladeflow.llm.suffixes import sort_suffixes
-from cladeflow.llm.textops import Hasher, Words, as_column, buffer, chunks, mix, sliding_min, small_batches
+from cladeflow.llm.textops import Hasher, Words, all_chunks, as_column, buffer, chunks, fresh_name, mix, sliding_min, small_batches, trim
 
 WIDTH = 20
 ANCHOR = 5
 SPLIT = 20_000
 SHARD_WORDS = 400_000
-LAST = (1 << 63) - 1
+NO_ID = 1 << 62
 
 
 # --- FM-index --------------------------------------------------------------------------------------------
@@ -58,7 +63,7 @@ class WaveletMatrix:
             words = np.zeros((len(values) >> 6) + 1, np.uint64)
             packed = np.packbits(bits.astype(np.uint8), bitorder="little")
             words.view(np.uint8)[: len(packed)] = packed
-            before = np.zeros(len(words), np.int64)
+            before = np.zeros(len(words), np.int32)
             np.cumsum(np.bitwise_count(words[:-1]), out=before[1:])
             zeros = int(len(values) - bits.sum())
             self.levels.append((level, words, before, zeros))
@@ -78,24 +83,50 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of many sequences of symbols 1..n that stand end to end; first: their offsets."""
+    """Index of many sequences of symbols 1..n that stand end to end; first: their offsets.
 
-    def __init__(self, symbols: np.ndarray, first: np.ndarray):
+    What is kept is the wavelet matrix of the transform and, for windows of ``width`` symbols that occur several
+    times, the interval of their suffixes and the least of the ``places`` (one number per symbol) where they begin.
+    """
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, width: int, places: np.ndarray):
         n, count = len(symbols), len(first) - 1
-        rows = np.repeat(np.arange(count), np.diff(first))
+        rows = np.repeat(np.arange(count, dtype=np.int32), np.diff(first))
+        ends = first[1:][rows]
         order = np.argsort(symbols, kind="stable")
         same = symbols[order][1:] == symbols[order][:-1]
-        rank, _ = sort_suffixes(order, same, first[1:][rows], rows - count - 1)
-        self.suffixes = np.empty(n, np.int64)
-        self.suffixes[rank] = np.arange(n)
-        before = np.zeros(n, np.int64)
+        rank, levels = sort_suffixes(order, same, ends, rows.astype(np.int64) - count - 1)
+        suffixes = np.empty(n, np.int64)
+        suffixes[rank] = np.arange(n)
+        before = np.zeros(n, np.int32)
         before[1:] = symbols[:-1]
         before[first[:-1]] = 0  # sequences begin after a separator
         # the separators come first in the suffix order, one for each sequence
         top = int(symbols.max()) if n else 0
-        self.transform = np.concatenate([symbols[first[1:] - 1], before[self.suffixes]])
+        transform = np.concatenate([symbols[first[1:] - 1], before[suffixes]])
         self.less = count + np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top + 1))])
-        self.tree, self.count = WaveletMatrix(self.transform, top), count
+        self.tree, self.count, self.size, self.width = WaveletMatrix(transform, top), count, count + n, width
+        self.low, self.high, self.earliest = self._windows(suffixes, ends, levels, places)
+
+    def _windows(self, suffixes, ends, levels, places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of the intervals of several suffixes that agree in a window, and the least place of each."""
+        half = 1 << (self.width.bit_length() - 1)  # two prefixes of this length make a window up
+        ranks = next((r for w, r in levels if w == half), None)
+        none = np.zeros(0, np.int64)
+        if ranks is None or len(suffixes) < 2:
+            return none, none, none
+        long = ends[suffixes] - suffixes >= self.width
+        begin = ranks[suffixes]
+        end = np.where(long, ranks[np.minimum(suffixes + self.width - half, len(suffixes) - 1)], -1)
+        same = long[1:] & long[:-1] & (begin[1:] == begin[:-1]) & (end[1:] == end[:-1])
+        edge = np.diff(np.concatenate([[0], same.view(np.int8), [0]]))
+        low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        if not len(low):
+            return none, none, none
+        inside = np.stack([low, high], axis=1).ravel()
+        own = places[suffixes]
+        least = np.minimum.reduceat(np.append(own, own[-1]), inside)[::2]
+        return low + self.count, high + self.count, least
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more symbol in front."""
@@ -103,9 +134,8 @@ class FMIndex:
         return both[: len(low)], both[len(low) :]
 
     def search(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns symbols[start:end], and how many of their last symbols match."""
-        size = self.count + len(self.suffixes)
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), size, np.int64)
+        """Intervals of the patterns symbols[start:end], and how many of their last symbols match."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
         matched = np.zeros(len(starts), np.int64)
         live, step = np.arange(len(starts)), 0
         while len(live):
@@ -118,24 +148,26 @@ class FMIndex:
             low[live], high[live] = a[found], b[found]
             matched[live] += 1
             step += 1
-        return low - self.count, high - self.count, matched
-
-
-class RangeMinimum:
-    def __init__(self, values: np.ndarray):
-        self.rows = [values]
-        while 2 << (len(self.rows) - 1) <= len(values):
-            row, step = self.rows[-1], 1 << (len(self.rows) - 1)
-            self.rows.append(np.minimum(row[:-step], row[step:]))
-
-    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        depth = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), self.rows[0].dtype)
-        for d in np.unique(depth):
-            at = depth == d
-            row = self.rows[d]
-            out[at] = np.minimum(row[low[at]], row[high[at] - (1 << int(d))])
-        return out
+        return low, high, matched
+
+    def reports(self, symbols: np.ndarray, first: np.ndarray):
+        """Streams sequences that are in the index from their ends. Gives (begins of windows, least place where each
+        occurs) for the windows that occur several times, some at a time."""
+        at = first[1:] - self.width
+        live = np.flatnonzero(at >= first[:-1])
+        at, stop = at[live], first[:-1][live]
+        low, high, _ = self.search(symbols, at, at + self.width)
+        while len(at):
+            number = np.searchsorted(self.low, low, side="right") - 1
+            known = (number >= 0) & (low < self.high[number]) if len(self.low) else np.zeros(len(low), bool)
+            if known.any():
+                yield at[known], self.earliest[number[known]]
+            # the interval of the window, which is one suffix or one of those kept; then one more symbol in front
+            low = np.where(known, self.low[number] if len(self.low) else low, low)
+            high = np.where(known, self.high[number] if len(self.low) else high, low + 1)
+            on = at > stop
+            at, stop = at[on] - 1, stop[on]
+            low, high = self.extend(low[on], high[on], symbols[at])
 
 
 def repeated_windows(codes: np.ndarray, first: np.ndarray, docs: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -146,27 +178,18 @@ def repeated_windows(codes: np.ndarray, first: np.ndarray, docs: np.ndarray, sta
     count = len(docs)
     ordered = np.sort(codes)
     alphabet = ordered[np.append(True, ordered[1:] != ordered[:-1])]
-    symbols = np.searchsorted(alphabet, codes) + 1
-    index = FMIndex(symbols, first)
+    symbols = (np.searchsorted(alphabet, codes) + 1).astype(np.int32)
     rows = np.repeat(np.arange(count), np.diff(first))
     place = starts[rows] + np.arange(len(codes)) - first[rows]
     order = np.lexsort((place, docs[rows]))
     step = (np.diff(docs[rows][order]) != 0) | (np.diff(place[order]) != 0)
     key = np.empty(len(codes), np.int32)
     key[order] = np.append(0, np.cumsum(step))
-    earliest = RangeMinimum(key[index.suffixes])
+    index = FMIndex(symbols, first, width, key)
     out = np.zeros(count, np.int64)
-    low, high, _ = index.search(symbols, first[:-1], first[1:])
-    whole = earliest(low, high) < key[first[:-1]]
-    windows = np.diff(first) - width + 1
-    out[whole] = (1 << windows[whole]) - 1
-    rest = np.flatnonzero(~whole)
-    owner = np.repeat(rest, windows[rest])
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(windows[rest]) - windows[rest], windows[rest])
-    begin = first[owner] + number
-    low, high, matched = index.search(symbols, begin, begin + width)
-    hit = (matched == width) & (earliest(low, np.maximum(high, low + 1)) < key[begin])
-    np.bitwise_or.at(out, owner[hit], np.int64(1) << number[hit])
+    for begin, least in index.reports(symbols, first):
+        begin = begin[least < key[begin]]
+        np.bitwise_or.at(out, rows[begin], np.int64(1) << (begin - first[rows[begin]]))
     return out
 
 
@@ -226,34 +249,51 @@ def _occurrences(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame, width: int) -> DataFrame:
-    """Texts of the wanted passages of each row of (text, doc_id, wanted: start, windows, anchor, split)."""
+    """Texts of the wanted passages of each row of (text, doc_id, wanted: start, windows, anchor)."""
 
     def run(batches):
-        for batch in batches:
+        for part in all_chunks(batches):
             out = []
-            for part in chunks(batch):
-                words = Words(*buffer(as_column(part.column("text"))))
-                codes = None
-                for row, (doc_id, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("wanted").to_pylist())):
-                    base, limit = int(words.first[row]), int(words.first[row + 1])
-                    for w in wanted or []:
-                        pieces = [(w["start"], w["windows"], w["anchor"])]
-                        if w["split"]:
-                            if codes is None:
-                                codes = Hasher(words.hashes()).windows(width).view(np.int64)
-                            pieces = [(w["start"] + i, 1, int(codes[base + w["start"] + i])) for i in range(w["windows"])]
-                        for start, windows, route in pieces:
-                            a, b = base + start, base + start + windows + width - 1
-                            if b <= limit:  # another row of the same id may be shorter
-                                text = words.data[words.starts[a] : words.ends[b - 1]].tobytes()
-                                out.append((route, doc_id, start, windows, text.decode()))
+            words = Words(*buffer(as_column(part.column("text"))))
+            for row, (doc_id, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("wanted").to_pylist())):
+                base, limit = int(words.first[row]), int(words.first[row + 1])
+                for w in wanted or []:
+                    a, b = base + w["start"], base + w["start"] + w["windows"] + width - 1
+                    if b <= limit:  # another row of the same id may be shorter
+                        text = words.data[words.starts[a] : words.ends[b - 1]].tobytes()
+                        out.append((w["anchor"], doc_id, w["start"], w["windows"], text.decode()))
             columns = list(zip(*out)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["route", "doc_id", "start", "windows", "text"]
+                [pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "doc_id", "start", "windows", "text"]
             )
 
-    return docs.mapInArrow(run, "route long, doc_id long, start int, windows int, text string")
+    return docs.mapInArrow(run, "anchor long, doc_id long, start int, windows int, text string")
+
+
+def _split_windows(docs: DataFrame, width: int) -> DataFrame:
+    """Hashes and places of all windows of the wanted passages: (a, b, doc_id, at, i), window i of its passage."""
+
+    def run(batches):
+        for part in all_chunks(batches):
+            words = Words(*buffer(as_column(part.column("text"))))
+            codes = words.hashes()
+            both = [Hasher(c).windows(width).view(np.int64) for c in (codes, mix(codes))]
+            wanted = part.column("wanted")
+            rows = pc.list_parent_indices(wanted).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(wanted)
+            starts, windows = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "windows"))
+            fits = words.first[rows] + starts + windows + width - 1 <= words.first[rows + 1]
+            rows, starts, windows = rows[fits], starts[fits], windows[fits]
+            which = np.repeat(np.arange(len(rows)), windows)
+            i = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = starts[which] + i
+            place = words.first[rows[which]] + at
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            columns = [both[0][place], both[1][place], ids[rows[which]], at, i.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "doc_id", "at", "i"])
+
+    return docs.mapInArrow(run, "a long, b long, doc_id long, at long, i int")
 
 
 def _search(batches, width: int):
@@ -265,6 +305,7 @@ def _search(batches, width: int):
         docs, starts = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start"))
         bits = repeated_windows(words.hashes(), words.first, docs, starts, width)
         hit = bits != 0
+        trim()
         return pa.RecordBatch.from_arrays(
             [pa.array(docs[hit]), pa.array(starts[hit].astype(np.int32)), pa.array(bits[hit])], ["doc_id", "start", "bits"]
         )
@@ -286,7 +327,8 @@ def _search(batches, width: int):
 
 
 def _decisions(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, firsts: start, bits) - the passages of each document that are first copies, with repeated windows."""
+    """(doc_id, firsts: start, bits, clear) - the passages of each document that are first copies. Windows whose
+    bits are set and not cleared repeat; several entries of one start hold together."""
     spark = docs.sparkSession
     occurrences = _occurrences(docs, width).repartition("anchor")
     firsts = occurrences.groupBy("anchor", "passage").agg(
@@ -304,29 +346,32 @@ def _decisions(docs: DataFrame, width: int) -> DataFrame:
     )
     release(spark)
     shared = firsts.where("anchor is not null")
-    wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "split")).alias("wanted"))
-    passages = _cut(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), width)
-    total = shared.agg(F.sum(F.when(F.col("split"), F.col("windows") * width).otherwise(F.col("windows") + width - 1))).first()[0]
+
+    def wanted(rows, *columns):
+        lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+        return docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
+
+    passages = _cut(wanted(shared.where("not split"), "start", "windows", "anchor"), width)
+    total = shared.where("not split").agg(F.sum(F.col("windows") + width - 1)).first()[0]
     shards = max(1, -(-int(total or 0) // SHARD_WORDS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = cut_lineage(
         passages.repartition("shard").sortWithinPartitions("shard").mapInArrow(
             lambda batches: _search(batches, width), "doc_id long, start int, bits long"
         )
     )
     release(spark)
-    # windows of split passages come back one by one; those of whole ones by their start
-    single = shared.where("split").select("doc_id", "start", "windows")
-    bits = found.select("doc_id", "start", "bits")
-    if not single.isEmpty():
-        opened = single.select("doc_id", "start", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("i"))
-        opened = opened.withColumn("one", F.col("start") + F.col("i"))
-        moved = opened.join(bits.withColumnRenamed("start", "one"), ["doc_id", "one"]).select(
-            "doc_id", "start", F.expr("shiftleft(bits, i)").alias("bits")
-        )
-        bits = bits.join(single.select("doc_id", "start"), ["doc_id", "start"], "left_anti").unionByName(moved)
-    marks = firsts.select("doc_id", "start", F.lit(0).cast("long").alias("bits")).unionByName(bits)
-    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("firsts"))
+    none = F.lit(0).cast("long")
+    all_bits = F.when(F.col("split"), F.expr("shiftleft(1L, windows) - 1")).otherwise(none)
+    marks = firsts.select("doc_id", "start", all_bits.alias("bits"), none.alias("clear"))
+    marks = marks.unionByName(found.withColumn("clear", none))
+    split = shared.where("split")
+    if not split.isEmpty():
+        windows = _split_windows(wanted(split, "start", "windows"), width)
+        single = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at", "i")).alias("w"))
+        start = (F.col("w.at") - F.col("w.i")).cast("int").alias("start")
+        marks = marks.unionByName(single.select("w.doc_id", start, none.alias("bits"), F.expr("shiftleft(1L, w.i)").alias("clear")))
+    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits", "clear")).alias("firsts"))
 
 
 def removed_words(column: pa.Array, firsts: pa.Array, width: int) -> tuple[Words, np.ndarray]:
@@ -339,13 +384,13 @@ def removed_words(column: pa.Array, firsts: pa.Array, width: int) -> tuple[Words
     lists = pc.list_flatten(firsts)
     parents = pc.list_parent_indices(firsts).to_numpy(zero_copy_only=False).astype(np.int64)
     own = (parents << 32) | lists.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-    bits = lists.field("bits").to_numpy(zero_copy_only=False)
+    bits, clear = (lists.field(c).to_numpy(zero_copy_only=False) for c in ("bits", "clear"))
     order = np.argsort(own)
-    own, bits = own[order], bits[order]
+    own, bits, clear = own[order], bits[order], clear[order]
     if len(own):  # several entries of one start are joined
         new = np.append(True, own[1:] != own[:-1])
-        bits = np.bitwise_or.reduceat(bits, np.flatnonzero(new))
-        own = own[new]
+        bits, clear = (np.bitwise_or.reduceat(x, np.flatnonzero(new)) for x in (bits, clear))
+        own, bits = own[new], bits & ~clear
     mine = (p.rows.astype(np.int64) << 32) | p.starts
     at = np.searchsorted(own, mine)
     known = np.zeros(len(mine), bool)
@@ -361,16 +406,20 @@ def removed_words(column: pa.Array, firsts: pa.Array, width: int) -> tuple[Words
     return p.words, np.cumsum(gone)[:n] > 0
 
 
-def _with_decisions(docs: DataFrame, width: int) -> DataFrame:
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    decisions = _decisions(keyed.select(F.col("__key").alias("doc_id"), "text"), width)
-    return keyed.join(decisions.select(F.col("doc_id").alias("__key"), "firsts"), "__key", "left").drop("__key")
+def _with_decisions(docs: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """``docs`` with the first copies of each row in one more column, and that column's name."""
+    key, firsts = fresh_name("key", docs.columns), fresh_name("firsts", docs.columns)
+    no_id = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), no_id))
+    decisions = _decisions(keyed.select(F.col(key).alias("doc_id"), "text"), width)
+    decisions = decisions.select(F.col("doc_id").alias(key), F.col("firsts").alias(firsts))
+    return keyed.join(decisions, key, "left").drop(key), firsts
 
 
-def _kept(part, width: int):
+def _kept(part, firsts: str, width: int):
     """(word counts, removed counts, kept words of each row as bytes) of a chunk."""
     column = as_column(part.column("text"))
-    words, gone = removed_words(column, part.column("firsts"), width)
+    words, gone = removed_words(column, part.column(firsts), width)
     keep = (~gone).tolist()
     texts = words.data.tobytes()
     kept = []
@@ -383,22 +432,21 @@ def _kept(part, width: int):
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     small_batches(docs.sparkSession)
+    rows, firsts = _with_decisions(docs.select("doc_id", "text"), width)
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                n_words, n_removed, kept = _kept(part, width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").cast(pa.int64()),
-                        pa.array(n_words),
-                        pa.array(n_removed),
-                        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    ],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256"],
-                )
-
-    rows = _with_decisions(docs.select("doc_id", "text"), width)
+        for part in all_chunks(batches):
+            n_words, n_removed, kept = _kept(part, firsts, width)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id").cast(pa.int64()),
+                    pa.array(n_words),
+                    pa.array(n_removed),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                ],
+                ["doc_id", "n_words", "n_removed", "kept_sha256"],
+            )
+
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -406,21 +454,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the repeated words; a text that loses words is the others joined by one space."""
     small_batches(docs.sparkSession)
     names = docs.columns
+    rows, firsts = _with_decisions(docs, width)
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                _, n_removed, kept = _kept(part, width)
-                old = part.column("text").to_pylist()
-                text = [k.decode() if n else t for k, n, t in zip(kept, n_removed.tolist(), old)]
-                columns = {c: part.column(c) for c in names}
-                columns["text"] = pa.array(text, pa.string())
-                if "n_chars" in columns:
-                    sizes = [len(t) if n else c for t, n, c in zip(text, n_removed.tolist(), columns["n_chars"].to_pylist())]
-                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-                yield pa.RecordBatch.from_pydict(columns)
-
-    return _with_decisions(docs, width).mapInArrow(run, docs.schema)
+        for part in all_chunks(batches):
+            _, n_removed, kept = _kept(part, firsts, width)
+            old = part.column("text").to_pylist()
+            text = [k.decode() if n else t for k, n, t in zip(kept, n_removed.tolist(), old)]
+            columns = {c: part.column(c) for c in names}
+            columns["text"] = pa.array(text, pa.string())
+            if "n_chars" in columns:
+                sizes = [len(t) if n else c for t, n, c in zip(text, n_removed.tolist(), columns["n_chars"].to_pylist())]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 ORACLE_SQL = r"""
