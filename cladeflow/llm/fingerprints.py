@@ -5,31 +5,35 @@ place. That depends on the k-mer alone, so an edit disturbs anchors only where i
 ``k - s`` code points separate two anchors. The fingerprint lists all anchors in text order, ten hex digits
 each: two for the distance from the anchor before (from the text's start for the first), eight for the
 k-mer's hash; positions can be summed up from it. A text shorter than ``k`` is one anchor as a whole; an
-empty or null one has the empty fingerprint. Likeness is the share of distinct anchors in common,
-2|A and B| / (|A| + |B|), 1.0 between two empty fingerprints.
+empty or null one has the empty fingerprint. Matching is positional: anchors match when both their k-mers and
+their distances from the anchors before them agree, so anchors in other surroundings do not. Likeness is the
+share of distinct anchors that match, 2|A and B| / (|A| + |B|), 1.0 between two empty fingerprints.
 
 ``fingerprint_edits`` needs each document's successor in descending id order. Rows are dealt to ranges of
-ids whose bounds come from quantiles of the id column; the first row of each range is copied to the range
-before it, and every range is sorted and streamed with one chunk in memory. The text crosses the network
-once; no window over the whole table is made. The driver holds one id per range, of which there
-are at most ``MAX_PARTS``. Null ids come last; rows
-with equal ids are ordered by text, so repeated rows follow each other. An empty table gives no rows; a
-single row is its own successor. Columns other than doc_id and text are ignored.
+ids whose bounds come from a sample of the ids by hash, and are found by binary search; the first row of each
+range is copied to the range before it, and every range is sorted and streamed with one chunk in memory. The
+text crosses the network once; no window over the whole table is made. The driver holds ``SAMPLED`` ids per
+range, of which there are at most ``MAX_PARTS``; larger tables get larger ranges. Null ids come last; rows
+with equal ids are ordered by text, so repeated rows follow each other, and are in one range. An empty table
+gives no rows; a single row is its own successor. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm.textops import CHUNK_BYTES, Hasher, codepoints, distinct, mix, sliding_min, small_batches
 
 K, S = 16, 6
-MAX_PARTS = 20_000
+MAX_PARTS = 400_000
+SAMPLED = 10
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, n_anchors long"
@@ -45,6 +49,7 @@ class Anchors:
         gaps = np.diff(positions, prepend=0)
         fresh = np.diff(rows, prepend=-1) != 0
         gaps[fresh] = positions[fresh]
+        self.marks = hashes ^ (gaps.astype(np.uint32) * np.uint32(0x9E3779B1))
         self.packed = np.empty((len(rows), 5), np.uint8)
         self.packed[:, 0] = gaps
         self.packed[:, 1:] = hashes.astype(">u4").view(np.uint8).reshape(-1, 4)
@@ -74,8 +79,8 @@ class Anchors:
         return [digits[a:b] for a, b in zip(first[:-1], first[1:])]
 
     def keys(self) -> np.ndarray:
-        """Sorted distinct (row, hash) pairs as one number each."""
-        return distinct((self.rows.astype(np.uint64) << np.uint64(32)) | self.hashes)
+        """Sorted distinct (row, hash of k-mer and distance) pairs as one number each."""
+        return distinct((self.rows.astype(np.uint64) << np.uint64(32)) | self.marks)
 
 
 def _find(texts: list[str], k: int, s: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,17 +195,41 @@ def _stream(batches, k: int, s: int):
         yield _compare(ids, texts, k, s)
 
 
+def range_bounds(docs: DataFrame, n_rows: int, n_parts: int) -> np.ndarray:
+    """About n_parts - 1 ids that cut the table into ranges of about equal numbers of rows, in ascending order."""
+    if n_parts < 2:
+        return np.zeros(0, np.int64)
+    every = max(1, n_rows // (SAMPLED * n_parts))
+    sample = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))
+    sample = sample.groupBy("doc_id").agg(F.count("*").alias("n")).toPandas().sort_values("doc_id")
+    if not len(sample):
+        return np.zeros(0, np.int64)
+    ids, total = sample["doc_id"].to_numpy(np.int64), np.cumsum(sample["n"].to_numpy(np.int64))
+    return np.unique(ids[np.searchsorted(total, np.arange(1, n_parts) * total[-1] // n_parts, side="right")])
+
+
+def _range_of(bounds) -> Callable:
+    """A column function: how many of the bounds (a broadcast) are above an id; one range more for null ids."""
+
+    def run(ids: pa.Array) -> pa.Array:
+        cuts = bounds.value
+        values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+        found = len(cuts) - np.searchsorted(cuts, values, side="right")
+        found[pc.is_null(ids).to_numpy(zero_copy_only=False)] = len(cuts) + 1
+        return pa.array(found.astype(np.int32))
+
+    return F.arrow_udf(run, "int")
+
+
 def fingerprint_edits(docs: DataFrame, k: int = K, s: int = S, rows_per_part: int = 500) -> DataFrame:
     """Fingerprints of every row, of its edited text, and their likeness; see the module's text."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_parts = min(MAX_PARTS, max(1, -(-docs.count() // rows_per_part)))
-    steps = [i / n_parts for i in range(1, n_parts)]
-    bounds = sorted({int(b) for b in docs.approxQuantile("doc_id", steps, 0.1 / n_parts)}) if steps else []
-    above = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(above, lambda x: x > F.col("doc_id"))))
-    rows = docs.withColumn("part", part.cast("int"))
+    n_rows = docs.count()
+    n_parts = min(MAX_PARTS, max(1, -(-n_rows // rows_per_part)))
+    part = _range_of(spark.sparkContext.broadcast(range_bounds(docs, n_rows, n_parts)))
+    rows = docs.withColumn("part", part("doc_id"))
     heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], SCHEMA)
