@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cladeflow.llm.pretokens import Pieces, PreTokenCache
-from cladeflow.llm.textops import chunks, small_batches
+from cladeflow.llm.textops import all_chunks, small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MAX_STATES = 200_000
@@ -232,13 +232,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                ids, first = codec(ranks.value).encode([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(first.astype(np.int32), ids)],
-                    ["doc_id", "ids"],
-                )
+        for part in all_chunks(batches):
+            ids, first = codec(ranks.value).encode([t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(first.astype(np.int32), ids)],
+                ["doc_id", "ids"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -249,23 +248,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                both = codec(ranks.value)
-                flat, first = both.encode([t or "" for t in part.column("text").to_pylist()])
-                flat, first = flat.tolist(), first.tolist()
-                digests, decoded = [], []
-                for a, b in zip(first[:-1], first[1:]):
-                    ids = flat[a:b]
-                    digests.append(hashlib.sha256(" ".join(map(both.names.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(both.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id").cast(pa.int64()),
-                        "n_tokens": np.diff(first).astype(np.int64),
-                        "ids_sha256": pa.array(digests, pa.string()),
-                        "decoded_sha256": pa.array(decoded, pa.string()),
-                    }
-                )
+        for part in all_chunks(batches):
+            both = codec(ranks.value)
+            flat, first = both.encode([t or "" for t in part.column("text").to_pylist()])
+            flat, first = flat.tolist(), first.tolist()
+            digests, decoded = [], []
+            for a, b in zip(first[:-1], first[1:]):
+                ids = flat[a:b]
+                digests.append(hashlib.sha256(" ".join(map(both.names.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(both.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column("doc_id").cast(pa.int64()),
+                    "n_tokens": np.diff(first).astype(np.int64),
+                    "ids_sha256": pa.array(digests, pa.string()),
+                    "decoded_sha256": pa.array(decoded, pa.string()),
+                }
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from cladeflow.llm.bpe import parse_ranks, read_ranks
 from cladeflow.llm.pretokens import Pieces, PreTokenCache
-from cladeflow.llm.textops import chunks, small_batches
+from cladeflow.llm.textops import all_chunks, small_batches
 
 BLOCK = 32
 CONTEXT = 3
@@ -225,21 +225,20 @@ def edited_counts(docs: DataFrame, path: str, edits: Callable[[str], Iterable[Ed
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                columns: list[list] = [[], [], [], [], []]
-                for text, tree in zip(texts, counter(ranks.value).trees(texts)):
-                    before, todo = tree.total, list(edits(text))
-                    for e in todo:
-                        tree.edit(*e)
-                    digest = hashlib.sha256(tree.text.encode()).hexdigest()
-                    for to, value in zip(columns, (before, len(todo), tree.total, digest, tree.reencoded)):
-                        to.append(value)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))],
-                    ["doc_id", "n_tokens", "n_edits", "edited_n_tokens", "edited_sha256", "reencoded_chars"],
-                )
+        for part in all_chunks(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            columns: list[list] = [[], [], [], [], []]
+            for text, tree in zip(texts, counter(ranks.value).trees(texts)):
+                before, todo = tree.total, list(edits(text))
+                for e in todo:
+                    tree.edit(*e)
+                digest = hashlib.sha256(tree.text.encode()).hexdigest()
+                for to, value in zip(columns, (before, len(todo), tree.total, digest, tree.reencoded)):
+                    to.append(value)
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))],
+                ["doc_id", "n_tokens", "n_edits", "edited_n_tokens", "edited_sha256", "reencoded_chars"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cladeflow.llm.suffixes import sort_suffixes
-from cladeflow.llm.textops import Words, as_column, buffer, chunks, row_sums, small_batches
+from cladeflow.llm.textops import Words, all_chunks, as_column, buffer, row_sums, small_batches
 
 MIN_REPEAT = 8
 MAX_COVERED = 0.2
@@ -135,13 +135,12 @@ def quality(
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                found = measures(as_column(part.column("text")), min_repeat)
-                failed, kept = verdicts(found, max_covered, max_longest)
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column("doc_id").cast(pa.int64()), **found, "base_failed": failed, "kept": kept}
-                )
+        for part in all_chunks(batches):
+            found = measures(as_column(part.column("text")), min_repeat)
+            failed, kept = verdicts(found, max_covered, max_longest)
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": part.column("doc_id").cast(pa.int64()), **found, "base_failed": failed, "kept": kept}
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -154,10 +153,9 @@ def filter_quality(docs: DataFrame, **limits) -> DataFrame:
     max_covered, max_longest = limits.get("max_covered", MAX_COVERED), limits.get("max_longest", MAX_LONGEST)
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch):
-                found = measures(as_column(part.column("text")), min_repeat)
-                kept = verdicts(found, max_covered, max_longest)[1]
-                yield part.filter(pa.array(kept))
+        for part in all_chunks(batches):
+            found = measures(as_column(part.column("text")), min_repeat)
+            kept = verdicts(found, max_covered, max_longest)[1]
+            yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, schema)
