@@ -1,16 +1,18 @@
 """Token counts that follow edits (operator 6).
 
 A document is kept as a segment tree: its leaves are blocks of pre-tokens (text, length and token count of
-each), its inner nodes hold the characters and tokens below them. An edit replaces the blocks that it
+each), its inner nodes hold the characters, tokens and leaves below them. An edit replaces the blocks that it
 touches. Only the touched region is split and encoded again: from the last pre-token that ends well before
 the edit, since the pattern looks at most ``CONTEXT`` characters ahead, to the first border of old pre-tokens
 behind it that the new split has as well; from there on the split cannot differ, for it depends on the
-text ahead alone. Sums are then updated on the path to the root, or the tree over the blocks is laid out anew
-when their number has grown past its room.
-
-``edited_counts`` builds the tree of every text, applies edits, and returns counts before and after. Null and
-empty texts have no tokens; null ids, repeated rows and other columns do not matter; an empty table gives no
-rows.
+text ahead alone. Blocks of up to twice ``BLOCK`` pre-tokens stay as they are, larger ones are cut evenly, and
+inner nodes of more than ``FAN`` children split where that happens, as in a B-tree; small neighbours merge. Sums
+are then updated on the path to the root, never elsewhere.
+
+``edited_counts`` builds the tree of every text, applies edits, and returns counts before and after.
+``count_trees`` makes a table of trees, which keeps them between jobs, and ``edit_trees`` edits such a table without
+encoding anything but the regions touched. Null and empty texts have no tokens; null ids, repeated rows and other
+columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from cladeflow.llm.pretokens import Pieces, PreTokenCache
 from cladeflow.llm.textops import all_chunks, small_batches
 
 BLOCK = 32
+FAN = 16
 CONTEXT = 3
 # Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,18 +41,77 @@ Edit = tuple[int, int, str]
 
 
 class Block:
-    __slots__ = ("text", "lengths", "counts")
+    """A leaf."""
+
+    __slots__ = ("text", "lengths", "counts", "chars", "tokens")
+    leaves = 1
 
     def __init__(self, text: str, lengths: list[int], counts: list[int]):
         self.text, self.lengths, self.counts = text, lengths, counts
+        self.chars, self.tokens = len(text), sum(counts)
+
+
+class Node:
+    """An inner node of blocks or of nodes."""
+
+    __slots__ = ("below", "chars", "tokens", "leaves")
+
+    def __init__(self, below: list):
+        self.below = below
+        self.add_up()
+
+    def add_up(self) -> None:
+        self.chars = sum(c.chars for c in self.below)
+        self.tokens = sum(c.tokens for c in self.below)
+        self.leaves = sum(c.leaves for c in self.below)
+
+
+def _layer(nodes: list) -> list[Node]:
+    """Nodes above these, evenly filled."""
+    n = -(-len(nodes) // FAN)
+    return [Node(nodes[len(nodes) * i // n : len(nodes) * (i + 1) // n]) for i in range(n)]
+
+
+def _replace(node: Node, low: int, high: int, fresh: list[Block]) -> list[Node]:
+    """Nodes to stand for this one when its leaves low to high - 1 have been replaced. Only nodes on the way change."""
+    below = node.below
+    if isinstance(below[0], Block):
+        below[low:high] = fresh
+    else:
+        at, k, pending = 0, 0, fresh
+        while k < len(below):
+            child, size = below[k], below[k].leaves
+            last = k + 1 == len(below)
+            if low < at + size or (pending and (low == high == at + size and last)):
+                made = _replace(child, max(0, low - at), min(size, max(0, high - at)), pending)
+                below[k : k + 1] = made
+                pending = []
+                k += len(made)
+            else:
+                k += 1
+            at += size
+            if at >= high and not pending:
+                break
+        k = 0
+        while k + 1 < len(below):  # merge small neighbours
+            if len(below[k].below) + len(below[k + 1].below) <= FAN // 2:
+                below[k : k + 2] = [Node(below[k].below + below[k + 1].below)]
+            else:
+                k += 1
+    if not below:
+        return []
+    if len(below) > FAN:
+        return _layer(below)
+    node.add_up()
+    return [node]
 
 
 class TokenTree:
     """Token count of a text under edits. count: number of tokens of one pre-token."""
 
     def __init__(self, text: str, lengths: list[int], counts: list[int], count: Callable[[str], int]):
-        self.count, self.reencoded = count, 0
-        self._lay_out(self._blocks(text, lengths, counts))
+        self.count, self.reencoded, self.rebuilt = count, 0, 0
+        self.root = self._grown(self._blocks(text, lengths, counts))
 
     @classmethod
     def of(cls, text: str, count: Callable[[str], int]) -> TokenTree:
@@ -58,74 +120,100 @@ class TokenTree:
 
     @staticmethod
     def _blocks(text: str, lengths: list[int], counts: list[int]) -> list[Block]:
+        """Blocks of about ``BLOCK`` pre-tokens; up to twice as many stay together."""
+        n = len(lengths)
+        parts = -(-n // BLOCK) if n > 2 * BLOCK else min(1, n)
         out, at = [], 0
-        for i in range(0, len(lengths), BLOCK):
-            part = lengths[i : i + BLOCK]
-            size = sum(part)
-            out.append(Block(text[at : at + size], part, counts[i : i + BLOCK]))
+        for k in range(parts):
+            i, j = n * k // parts, n * (k + 1) // parts
+            size = sum(lengths[i:j])
+            out.append(Block(text[at : at + size], lengths[i:j], counts[i:j]))
             at += size
         return out
 
-    def _lay_out(self, blocks: list[Block]) -> None:
-        self.blocks = blocks
-        self.room = 1 << max(0, len(blocks) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.room), [0] * (2 * self.room)
-        for i, b in enumerate(blocks):
-            self.chars[self.room + i], self.tokens[self.room + i] = len(b.text), sum(b.counts)
-        for i in range(self.room - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, i: int) -> None:
-        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+    @staticmethod
+    def _grown(nodes: list) -> Node:
+        while len(nodes) != 1 or isinstance(nodes[0], Block):
+            nodes = _layer(nodes) if nodes else [Node([])]
+        while len(nodes[0].below) == 1 and isinstance(nodes[0].below[0], Node):
+            nodes = nodes[0].below
+        return nodes[0]
 
     def __len__(self) -> int:
-        return self.chars[1]
+        return self.root.chars
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
+
+    @property
+    def blocks(self) -> list[Block]:
+        layer: list = [self.root]
+        while layer and isinstance(layer[0], Node):
+            layer = [c for n in layer for c in n.below]
+        return layer
 
     @property
     def text(self) -> str:
         return "".join(b.text for b in self.blocks)
 
+    def state(self) -> tuple[str, list[int], list[int]]:
+        """Text, lengths and counts of all pre-tokens: what a tree is made of again."""
+        blocks = self.blocks
+        return "".join(b.text for b in blocks), [x for b in blocks for x in b.lengths], [x for b in blocks for x in b.counts]
+
     def _find(self, place: int) -> tuple[int, int]:
-        """Block that holds the place, and where it begins."""
-        node, begin = 1, 0
-        while node < self.room:
-            node *= 2
-            if place - begin >= self.chars[node] and self.chars[node + 1]:
-                begin += self.chars[node]
-                node += 1
-        return node - self.room, begin
+        """Number of the block that holds the place, and where it begins."""
+        node, begin, number = self.root, 0, 0
+        while isinstance(node, Node):
+            for child in node.below[:-1]:
+                if place < begin + child.chars:
+                    break
+                begin += child.chars
+                number += child.leaves
+            else:
+                child = node.below[-1]
+            node = child
+        return number, begin
+
+    def _block(self, number: int) -> Block:
+        node = self.root
+        while isinstance(node, Node):
+            for child in node.below:
+                if number < child.leaves:
+                    break
+                number -= child.leaves
+            node = child
+        return node
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace text[start:stop]."""
         if not 0 <= start <= stop <= len(self):
             raise ValueError("edit out of range")
-        if not self.blocks:
+        n_blocks = self.root.leaves
+        if not n_blocks:
             fresh = TokenTree.of(new, self.count)
             self.reencoded += len(new)
-            self._lay_out(fresh.blocks)
+            self.root = fresh.root
             return
         first, begin = self._find(max(0, start - CONTEXT))
         # the first pre-token of the block that may be split differently
+        old = [self._block(first)]
         kept, at = 0, begin
-        for size in self.blocks[first].lengths:
+        for size in old[0].lengths:
             if at + size > start - CONTEXT:
                 break
             at += size
             kept += 1
-        last, last_begin = self._find(min(stop, len(self) - 1))
+        last, _ = self._find(min(stop, len(self) - 1))
         take = last + 1
         while True:
-            old = self.blocks[first:take]
+            old += [self._block(i) for i in range(first + len(old), take)]
             body = "".join(b.text for b in old)[at - begin :]
             changed = body[: start - at] + new + body[stop - at :]
             shift = len(new) - (stop - start)
-            whole = take >= len(self.blocks)
-            ahead = "" if whole else self.blocks[take].text[:CONTEXT]
+            whole = take >= n_blocks
+            ahead = "" if whole else self._block(take).text[:CONTEXT]
             borders, place = {}, begin
             index = 0
             for b in old:
@@ -148,7 +236,7 @@ class TokenTree:
                 joined = index
             if joined is not None:
                 break
-            take = min(len(self.blocks), take + max(1, take - first))
+            take = min(n_blocks, take + max(1, take - first))
         self.reencoded += here - at
         old_lengths = [x for b in old for x in b.lengths]
         old_counts = [x for b in old for x in b.counts]
@@ -156,19 +244,12 @@ class TokenTree:
         text = text[: at - begin] + changed
         lengths = old_lengths[:kept] + lengths + old_lengths[joined:]
         counts = old_counts[:kept] + counts + old_counts[joined:]
-        fresh = self._blocks(text, lengths, counts)
-        if len(fresh) == len(old):
-            self.blocks[first:take] = fresh
-            for i in range(first, take):
-                node = self.room + i
-                self.chars[node], self.tokens[node] = len(self.blocks[i].text), sum(self.blocks[i].counts)
-            nodes = {(self.room + i) // 2 for i in range(first, take)}
-            while nodes and 0 not in nodes:
-                for node in nodes:
-                    self._sum(node)
-                nodes = {n // 2 for n in nodes}
-        else:
-            self._lay_out(self.blocks[:first] + fresh + self.blocks[take:])
+        if len(lengths) < BLOCK // 2 and take < n_blocks:  # too small a block takes in the next one
+            after = self._block(take)
+            text, lengths, counts = text + after.text, lengths + after.lengths, counts + after.counts
+            take += 1
+        self.rebuilt += take - first
+        self.root = self._grown(_replace(self.root, first, take, self._blocks(text, lengths, counts)))
 
 
 def sample_edits(text: str) -> Iterable[Edit]:
@@ -242,3 +323,44 @@ def edited_counts(docs: DataFrame, path: str, edits: Callable[[str], Iterable[Ed
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+TREES = "doc_id long, text string, lengths array<int>, counts array<int>, n_tokens long, reencoded_chars long"
+
+
+def _tree_rows(ids: pa.Array, trees: Iterable[TokenTree]) -> pa.RecordBatch:
+    rows = [(*t.state(), t.total, t.reencoded) for t in trees]
+    types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+    columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)]
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *columns], [c.split()[0] for c in TREES.split(", ")])
+
+
+def count_trees(docs: DataFrame, path: str) -> DataFrame:
+    """A tree of every row, as its text and the lengths and token counts of its pre-tokens."""
+    small_batches(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches):
+        for part in all_chunks(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            yield _tree_rows(part.column("doc_id"), counter(ranks.value).trees(texts))
+
+    return docs.select("doc_id", "text").mapInArrow(run, TREES)
+
+
+def edit_trees(trees: DataFrame, path: str, edits: Callable[[str], Iterable[Edit]] = sample_edits) -> DataFrame:
+    """The trees of such a table after edits; ``reencoded_chars`` counts the characters encoded for them."""
+    small_batches(trees.sparkSession)
+    ranks = trees.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches):
+        for part in all_chunks(batches):
+            made = []
+            for row in zip(*(part.column(c).to_pylist() for c in ("text", "lengths", "counts"))):
+                tree = TokenTree(*row, counter(ranks.value).one)
+                for e in edits(row[0]):
+                    tree.edit(*e)
+                made.append(tree)
+            yield _tree_rows(part.column("doc_id"), made)
+
+    return trees.select("doc_id", "text", "lengths", "counts").mapInArrow(run, TREES)
