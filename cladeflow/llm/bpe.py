@@ -8,8 +8,8 @@ trie node of its open token. States and transitions are made when first met and
 runs agree on are emitted at once; a run whose open token cannot go on dies, so the lookahead is at most the
 longest token.
 
-``Utf8Decoder`` turns a stream of ids into text: whole characters go out, and the automaton of UTF-8 holds
-back at most three bytes of an unfinished one between calls.
+``Utf8Decoder`` turns a stream of ids into text: whole characters go out, and the state of the automaton of
+UTF-8, at most three bytes of an unfinished one, is carried from token to token and between calls.
 
 ``encode`` is a map over rows. Pre-tokens are encoded separately and repeat often, so each worker keeps their
 ids in a bounded table and the transducer reads those that miss it. The rank file is read on the driver and
@@ -169,30 +169,65 @@ class Transducer:
 
 
 class Utf8Decoder:
-    """Ids to text, in pieces; at most three bytes wait for the rest of their character."""
+    """Ids to text, in pieces, by the automaton of UTF-8.
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens, self.waiting = tokens, b""
+    Its state is the bytes of an unfinished character, three at most, which wait between calls. A step reads a
+    whole token: it goes through the automaton byte by byte when first met in a state and is kept in ``steps``,
+    which decoders of one vocabulary share. Bytes that no character can have become U+FFFD, one for the
+    longest beginning of a character.
+    """
+
+    def __init__(self, tokens: list[bytes], steps: dict[tuple[bytes, int], tuple[str, bytes]] | None = None):
+        self.tokens, self.steps, self.state = tokens, {} if steps is None else steps, b""
+
+    @staticmethod
+    def next_bytes(state: bytes) -> tuple[int, int]:
+        """Least and greatest byte that may follow the beginning of a character."""
+        if len(state) == 1:
+            return {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(state[0], (0x80, 0xBF))
+        return 0x80, 0xBF
+
+    def _step(self, state: bytes, token: bytes) -> tuple[str, bytes]:
+        out = []
+        for byte in token:
+            if state:
+                low, high = self.next_bytes(state)
+                if low <= byte <= high:
+                    state += bytes([byte])
+                    length = 2 + (state[0] >= 0xE0) + (state[0] >= 0xF0)
+                    if len(state) == length:
+                        code = state[0] & (0x7F >> length)
+                        for more in state[1:]:
+                            code = code << 6 | more & 0x3F
+                        out.append(chr(code))
+                        state = b""
+                    continue
+                out.append("\ufffd")
+                state = b""
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xF4:
+                state = bytes([byte])
+            else:
+                out.append("\ufffd")
+        return "".join(out), state
 
     def feed(self, ids: list[int]) -> str:
-        data = self.waiting + b"".join(map(self.tokens.__getitem__, ids))
-        cut = len(data) - self.unfinished(data)
-        self.waiting = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        state, steps, out = self.state, self.steps, []
+        for number in ids:
+            step = steps.get((state, number))
+            if step is None:
+                if len(steps) > MAX_STATES:
+                    steps.clear()
+                step = steps[state, number] = self._step(state, self.tokens[number])
+            text, state = step
+            out.append(text)
+        self.state = state
+        return "".join(out)
 
     def close(self) -> str:
-        rest, self.waiting = self.waiting, b""
-        return rest.decode("utf-8", "replace")
-
-    @staticmethod
-    def unfinished(data: bytes) -> int:
-        """Bytes at the end that begin a character without completing it: the automaton's state there."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 != 0x80:
-                need = 1 + (byte >= 0xC2) + (byte >= 0xE0) + (byte >= 0xF0) if byte < 0xF5 else 1
-                return back if need > back else 0
-        return 0
+        rest, self.state = self.state, b""
+        return "\ufffd" if rest else ""
 
 
 class Codec:
@@ -204,13 +239,14 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.names = list(map(str, range(len(self.tokens))))
+        self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
         self.cache = PreTokenCache(lambda texts: [self.transducer.encode(t.encode()) for t in texts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.cache.ids(Pieces(texts))
 
     def decode(self, ids: list[int], step: int = 4096) -> str:
-        decoder = Utf8Decoder(self.tokens)
+        decoder = Utf8Decoder(self.tokens, self.steps)
         return "".join([*(decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)), decoder.close()])
 
 
