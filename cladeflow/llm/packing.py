@@ -3,9 +3,10 @@
 Documents become token ids plus a closing 0; those longer than a sequence are cut, the first piece being the
 shorter one. Pieces are dealt by hash to blocks of about ``BLOCK`` pieces. On every block, ``ISLANDS``
 populations evolve independently: an individual is a partition of the pieces into bins; crossover takes whole
-well-filled bins of one parent into the other, empties the bins of the other that hold a piece twice, and
-places the displaced pieces by best fit, largest first. After each epoch the best individual of an island
-moves to the next one. The best partition of a block becomes its sequences; blocks are independent, so any
+well-filled bins of one parent into the other, empties the bins of the other that hold a piece twice, exchanges
+displaced pieces for smaller ones where that fills a bin better, and places those left by best fit, largest
+first. After each epoch the best individual of an island moves to the next one. A population that reaches the
+lower bound on sequences stops. The best partition of a block becomes its sequences; blocks are independent, so any
 number of them runs at once, and each wastes at most part of one sequence more than a joint packing.
 
 The ids are those of ``tokenizers`` for the given file. Where the file is plain byte-level BPE whose ids
@@ -20,6 +21,8 @@ other. Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 import random
 import re
@@ -38,8 +41,9 @@ CAPACITY = 2048
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
-POPULATION = 3
-GENERATIONS = 3
+POPULATION = 4
+GENERATIONS = 12
+TRIES = 256
 WELL_FILLED = 0.99
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -214,11 +218,39 @@ def crossover(into: Packing, donor: Packing, rng: random.Random, well_filled: fl
     if kept:
         emptiest = min(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]))
         displaced += kept.pop(emptiest)
-    child = Packing(sizes, capacity, [list(b) for b in taken] + [list(b) for b in kept])
+    kept = [list(b) for b in kept]
+    displaced = improve(sizes, capacity, kept, displaced, rng)
+    child = Packing(sizes, capacity, [list(b) for b in taken] + kept)
     child.place(sorted(displaced, key=lambda i: -sizes[i]))
     return child
 
 
+def improve(sizes: list[int], capacity: int, bins: list[list[int]], displaced: list[int], rng: random.Random) -> list[int]:
+    """Fill some of the bins better: a displaced item takes the place of one or two smaller ones, which are displaced
+    in its stead and, being smaller, find room more easily. Gives what is displaced then."""
+    waiting = sorted(displaced, key=lambda i: sizes[i])
+    order = [sizes[i] for i in waiting]
+    for b in rng.sample(bins, min(TRIES, len(bins))):
+        free = capacity - sum(sizes[i] for i in b)
+        if not free:
+            continue
+        best, out = 0, ()
+        for gone in [(i,) for i in b] + list(itertools.combinations(b, 2)):
+            size = sum(sizes[i] for i in gone)
+            at = bisect.bisect_right(order, size + free) - 1  # the largest that fits in their place
+            if at >= 0 and order[at] - size > best:
+                best, out, chosen = order[at] - size, gone, at
+        if best:
+            b.append(waiting.pop(chosen))
+            order.pop(chosen)
+            for i in out:
+                b.remove(i)
+                at = bisect.bisect_left(order, sizes[i])
+                waiting.insert(at, i)
+                order.insert(at, sizes[i])
+    return waiting
+
+
 def labels(packing: Packing) -> list[int]:
     """Bin number of each item."""
     out = [0] * len(packing.sizes)
