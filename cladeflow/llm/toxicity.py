@@ -9,9 +9,9 @@
    As the model knows no words, borders are uncertain: of a token with gaps, the joined letters count, and
    every word whose probability over all ways to set the borders is at least ``LIKELY``.
 3. Features of a text are its restored words in lower case and their first 4 to 8 bytes. Their log-odds
-   are counted on labelled rows, at most ``SAMPLE`` of each label, those with the smallest hash of doc_id;
-   only rows outside the held-out fold (crc32 of doc_id modulo 5 is not 0) are learnt from. At most
-   ``MAX_FEATURES`` features are kept and broadcast.
+   are counted on labelled rows, about ``SAMPLE`` of each label, chosen by a hash of doc_id; only rows outside
+   the held-out fold (crc32 of doc_id modulo 5 is not 0) are learnt from. All features that tell for label 1 and
+   that ``MIN_TOXIC`` toxic rows of the sample have are kept and broadcast; the sample bounds their number.
 4. A text is scored by a logistic function, fitted on the same sample, of its strongest feature, of how many
    and how strong its features are, and of its length. Sampled rows are weighted by the labelled rows of
    their label they stand for, so the share of each label, and with it the cut, stays that of all usable labels
@@ -31,11 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.storage import cut_lineage
 from cladeflow.llm.textops import BYTE_CODES, Hasher, Words, all_chunks, as_column, buffer, distinct, mix, small_batches
 
 SAMPLE = 8000
-MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_TOXIC = 3
 MIN_WEIGHT = 1.0
@@ -294,21 +292,23 @@ class Features:
             memory = {} if memory is None else memory
             texts = words.data.tobytes()
             plain = [(w, texts[words.starts[w] : words.ends[w]].decode("utf-8", "replace")) for w in np.flatnonzero(odd).tolist()]
-            # letters on their own, three or more in a row, are one token
+            # letters on their own, three or more in a row, are one token; up to two thirds may be signs in their stead
             second = words.data[np.minimum(words.starts + 1, len(words.data) - 1)]
             size = words.ends - words.starts
-            single = np.flatnonzero(LETTER[words.data[words.starts]] & ((size == 1) | ((size == 2) & (second < 128) & ~LETTER[second])))
+            head = words.data[words.starts] if len(odd) else words.data[:0]
+            alone = (size == 1) | ((size == 2) & (second < 128) & ~LETTER[second])
+            single = np.flatnonzero((LETTER | DIGIT | SIGN)[head] & alone)
             if len(single) > 2:
                 run = np.append(True, (np.diff(single) != 1) | (np.diff(words.rows[single]) != 0))
                 first = np.flatnonzero(run)
                 for a, b in zip(first.tolist(), np.append(first[1:], len(single)).tolist()):
-                    if b - a > 2:
-                        at = single[a:b]
+                    at = single[a:b]
+                    if b - a > 2 and 3 * LETTER[head[at]].sum() >= b - a:
                         plain.append((int(at[0]), texts[words.starts[at[0]] : words.ends[at[-1]]].decode("utf-8", "replace")))
             for w, text in plain:
                 found = memory.get(text)
                 if found is None:
-                    if len(memory) > 200_000:
+                    if len(memory) > 50_000:
                         memory.clear()
                     found = memory[text] = model.words(text.strip(".,;:!?\"'`*%&#()[]{}"))
                 restored += found
@@ -396,7 +396,8 @@ def fit_logistic(
     """Intercept and weights, by Newton's method on scaled columns with a small ridge; rows may have weights."""
     weight = np.ones(len(x)) if weight is None else weight
     mean = np.average(x, axis=0, weights=weight)
-    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight))
+    scale[scale < 1e-6] = np.inf  # a column that does not vary tells nothing
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(z.shape[1])
     penalty = ridge * np.eye(len(w))
@@ -439,10 +440,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     counts = count_trigrams(docs)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = usable.where("toxic = 1").orderBy(*order).limit(sample).unionByName(
-        usable.where("toxic = 0").orderBy(*order).limit(sample)
-    )
+    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # the hash of an id is below a share of its range: no order of all labels is needed
+    rate = lambda t: F.lit(min(1.0, sample / max(1, labelled.get(t, 0))))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = usable.where(draw < F.when(F.col("toxic") == 1, rate(1)).otherwise(rate(0)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     shared = spark.sparkContext.broadcast(counts)
 
@@ -477,10 +479,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
         .where(F.col("ones") >= MIN_TOXIC)
         .select("key", weight.alias("weight"))
         .where(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc("weight"), "key")
-        .limit(MAX_FEATURES)
     )
-    features = cut_lineage(features).toPandas()  # each task's share of the best goes to one other task first
+    features = features.toPandas().sort_values("key")
     keys, weights = features["key"].to_numpy(np.int64).view(np.uint64), features["weight"].to_numpy(float)
     flat = spark.sparkContext.broadcast((counts, keys, weights, np.zeros(STATISTICS + 1)))
 
@@ -494,8 +494,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     names = [f"x{k}" for k in range(STATISTICS)]
     seen = rows.mapInArrow(measure, "toxic int, " + ", ".join(f"{c} double" for c in names)).toPandas()
     seen = seen.sort_values(["toxic", *names])
-    labelled = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    stands_for = seen["toxic"].map({t: n / min(n, sample) for t, n in labelled.items()})
+    sizes = seen.groupby("toxic").size()
+    stands_for = seen["toxic"].map({t: labelled[t] / n for t, n in sizes.items()})
     curve = fit_logistic(seen[names].to_numpy(float), seen["toxic"].to_numpy(float), weight=stands_for.to_numpy(float))
     return counts, keys, weights, curve
 

@@ -330,6 +330,16 @@ def test_round_trip(docs):
         assert counts[i] == (want[i][0], len(library.encode_ordinary(changed)), sha(changed))
 
 
+def test_trees_are_kept_between_jobs(docs):
+    counts = as_dict(edits.edited_counts(docs, TIKTOKEN), "n_tokens", "edited_n_tokens", "reencoded_chars")
+    trees = edits.count_trees(docs, TIKTOKEN).cache()
+    assert as_dict(trees, "n_tokens") == {i: c[:1] for i, c in counts.items()}
+    after = edits.edit_trees(trees, TIKTOKEN)
+    assert as_dict(after, "n_tokens", "reencoded_chars") == {i: c[1:] for i, c in counts.items()}
+    texts = {i: edits.apply_edits(t or "", edits.sample_edits(t or "")) for i, t in corpus()}
+    assert as_dict(after, "text") == {i: (t,) for i, t in texts.items()}
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -418,6 +428,16 @@ def test_toxicity(spark):
     assert as_dict(toxicity.score(docs, flipped), "predicted") == {i: (p,) for i, (_, _, p) in found.items()}
 
 
+def test_last_word_of_a_long_spaced_text_decides(spark):
+    docs, labels = toxic_corpus(spark)
+    clean = [w for r in docs.where("doc_id % 4 = 1").limit(3).collect() for w in r["text"].split()][:50]
+    spaced = "  ".join(" ".join(w) for w in clean)
+    more = [(10**6 + k, t) for k, t in enumerate([spaced, spaced + "  m o r o n", spaced + "  1 d 1 0 t"])]
+    assert all(len(t) > 200 for _, t in more)
+    found = as_dict(toxicity.score(docs.union(spark.createDataFrame(more, docs.schema)), labels), "score", "predicted")
+    assert [found[i][1:] for i, _ in more] == [(0,), (1,), (1,)]
+
+
 def test_sample_keeps_the_share_of_labels(spark):
     docs = spark.createDataFrame([(i, "texts that tell nothing") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")

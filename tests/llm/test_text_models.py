@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -96,6 +97,21 @@ def test_decoder_waits_for_whole_characters():
     assert decoder.feed([0xE6, 0x97]) == "" and decoder.close() == "�"
 
 
+def test_decoder_is_the_one_of_python():
+    rng = random.Random(6)
+    tokens = [bytes(rng.choice([rng.randrange(256), 0x61, 0x80, 0xBF, 0xE0, 0xED, 0xF0, 0xF4]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    tokens += [c.encode() for c in "aé日👍\ud7ff\U0010ffff"]
+    steps: dict = {}
+    for _ in range(800):
+        ids = [rng.randrange(len(tokens)) for _ in range(rng.randint(0, 12))]
+        decoder, data = bpe.Utf8Decoder(tokens, steps), b"".join(tokens[i] for i in ids)
+        found = []
+        for k in range(0, len(ids), 2):
+            found.append(decoder.feed(ids[k : k + 2]))
+            assert len(decoder.state) <= 3
+        assert "".join([*found, decoder.close()]) == data.decode("utf-8", "replace")
+
+
 def test_cache_survives_conflicts_and_emptying():
     cache = pretokens.PreTokenCache(lambda texts: [[ord(c) for c in t] for t in texts], bits=3, pool=50)
     for _ in range(3):
@@ -185,6 +201,42 @@ def test_edits_follow(ranks, library):
         tree.edit(5, 3, "")
 
 
+def test_edits_touch_a_path_of_the_tree(library):
+    count = lambda t: len(library.encode_ordinary(t))
+    rng, text = random.Random(5), "some words of a text, " * 4000
+    tree = edits.TokenTree.of(text, count)
+    many = tree.root.leaves
+
+    def check(node, depth=0):
+        """All sums, fan-out and depth; gives the leaves' depths."""
+        if isinstance(node, edits.Block):
+            assert (node.chars, node.tokens) == (len(node.text), sum(node.counts)) and sum(node.lengths) == node.chars
+            assert len(node.lengths) <= 2 * edits.BLOCK
+            return {depth}
+        assert len(node.below) <= edits.FAN
+        assert (node.chars, node.tokens) == (sum(c.chars for c in node.below), sum(c.tokens for c in node.below))
+        assert node.leaves == sum(c.leaves for c in node.below)
+        return set().union(*(check(c, depth + 1) for c in node.below))
+
+    for k in range(400):
+        a = rng.randint(0, len(text))
+        b = min(len(text), a + rng.choice([0, 0, 0, 4, 30, 3000 if k % 40 == 0 else 1]))
+        new = rng.choice(["", "one ", " inserted words,", "x " * rng.randint(1, 400 if k % 25 == 0 else 5)])
+        before, rebuilt = {id(x) for x in tree.blocks}, tree.rebuilt
+        tree.edit(a, b, new)
+        text = text[:a] + new + text[b:]
+        replaced = tree.rebuilt - rebuilt
+        assert replaced <= 4 + (b - a) // 20 and len(before - {id(x) for x in tree.blocks}) <= replaced
+        assert len(check(tree.root)) <= 1
+    assert tree.text == text and tree.total == count(text) and many > 500
+    again = edits.TokenTree(*tree.state(), count)
+    assert again.total == tree.total and again.text == text
+    tree.edit(0, len(text), "")
+    assert tree.total == 0 and tree.text == ""
+    tree.edit(0, 0, "new text")
+    assert tree.total == count("new text")
+
+
 def test_deobfuscation():
     words = "idiot moron clown stupid loser scum trash worthless pathetic disgusting hello world the and".split()
     model = toxicity.CharModel(toxicity.trigram_counts([" ".join(words)] * 50))
@@ -248,6 +300,42 @@ def test_weighted_fit_is_that_of_all_rows():
     assert np.abs(weighted - every).max() < 0.3 < 1.5 < toxicity.fit_logistic(x[some], y[some])[0] - every[0]
 
 
+def test_viterbi_is_the_best_of_all_readings():
+    rng = random.Random(11)
+    words = "idiot moron bad dog a an it".split()
+    model = toxicity.CharModel(toxicity.trigram_counts([" ".join(rng.choice(words) for _ in range(500))]))
+
+    def readings(runs, narrow):
+        """Every (text, cost of the channel) of what was seen."""
+        if not runs:
+            return [("", 0.0)]
+        (c, n), rest = runs[0], readings(runs[1:], narrow)
+        if c in toxicity.SYMBOL:
+            own = [(c * n, 0.0)] if n < 3 else [(c, toxicity.SHORTEN), (c * 2, toxicity.SHORTEN)]
+        elif c == " ":
+            own = [("", toxicity.NARROW), (" ", toxicity.SKIP)] if n > narrow else [("", toxicity.SKIP), (" ", toxicity.BORDER)]
+        else:
+            own = [(x * m, toxicity.SUBSTITUTE * n) for x in toxicity.LOOKS_LIKE.get(c, "") for m in {1, min(n, 2)}] + [(c * n, 0.0)]
+        return [(a + b, x + y) for a, x in own for b, y in rest]
+
+    def score(text):
+        total = 0.0
+        for word in text.split(" "):
+            s = [0, 0, *(toxicity.SYMBOL.get(c, 1) for c in word), 0]
+            total += sum(float(model.log[s[k], s[k + 1], s[k + 2]]) for k in range(len(s) - 2)) - 3.0 * s.count(1)
+        return total
+
+    for _ in range(300):
+        seen = "".join(rng.choice(["i", "d", "1", "0", "t", ".", "ooo", "@", "b", "--"]) for _ in range(rng.randint(1, 7))).strip(".-")
+        if not seen:
+            continue
+        runs = [(" " if c in ".-" else c, len(list(g))) for c, g in itertools.groupby(seen, lambda c: " " if c in ".-" else c)]
+        narrow = min((n for c, n in runs if c == " "), default=0)
+        best = max(score(t) + c for t, c in readings(runs, narrow))
+        found = model.decode(seen)
+        assert max(score(t) + c for t, c in readings(runs, narrow) if t == found) == pytest.approx(best, abs=1e-3)
+
+
 def test_trigrams_count_borders():
     counts = toxicity.trigram_counts(["ab", " b", ""]).reshape((toxicity.SIZE,) * 3)
     a, b = toxicity.SYMBOL["a"], toxicity.SYMBOL["b"]
@@ -382,6 +470,20 @@ def test_genetic_packing():
     a, b = packing.best_fit(sizes, 100, 0.3, rng), packing.best_fit(sizes, 100, 0.3, rng)
     child = packing.crossover(a, b, rng)
     assert sorted(i for b in child.bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 100 for b in child.bins)
+
+
+def test_evolution_beats_best_fit_where_that_wastes_room():
+    rng = random.Random(5)
+    plain = evolved = 0
+    for seed in range(6):
+        sizes = [rng.randint(400, 1000) for _ in range(600)]
+        plain += len(packing.best_fit(sizes, 2048, 0.0, rng).bins)
+        evolved += len(packing.evolve(sizes, 2048, [], seed)[0].bins)
+    assert evolved < 0.985 * plain
+    # an optimum is met: pairs that fill a bin exactly, hidden among others
+    sizes = [x for _ in range(40) for a in [rng.randint(700, 1023)] for x in (a, 2048 - a)]
+    assert len(packing.evolve(sizes, 2048, [], 1)[0].bins) == 40
 
 
 def test_ranks_file(ranks):
