@@ -66,9 +66,10 @@ def valid_sites(codes: np.ndarray, states: int) -> np.ndarray:
 
 
 class Reference:
-    """Tree, model and alignment ready for insertions. sequences: sites by tip label."""
+    """Tree, model and alignment ready for insertions. sequences: sites by tip label; conditionals: whether they are
+    computed, or only given room to be filled from a store."""
 
-    def __init__(self, tree: Tree, model: Model, sequences: dict[str, str]):
+    def __init__(self, tree: Tree, model: Model, sequences: dict[str, str], conditionals: bool = True):
         missing = [t.label for t in tree.tips if t.label not in sequences]
         if missing:
             raise ValueError("tips without a sequence: " + ", ".join(sorted(missing)))
@@ -90,7 +91,11 @@ class Reference:
         for k in range(len(tree.tips)):
             same *= table[codes[k]]
         self.invariant = (same * self.freqs).sum(1) if model.pinv else np.zeros(self.width)
-        self._conditionals()
+        if conditionals:
+            self._conditionals()
+        else:
+            shape = (tree.n_edges, self.width, len(self.rates), states)
+            self.lower, self.upper, self.scale = np.empty(shape), np.empty(shape), np.empty(shape[:2])
 
     def transitions(self, length: np.ndarray | float) -> np.ndarray:
         """(..., category, state, state) of the given lengths."""
@@ -133,6 +138,9 @@ class Reference:
         self.scale = np.array([lower[e][1] + upper[e][1] for e in range(self.tree.n_edges)])
 
     def _site_logs(self, likelihood: np.ndarray, scale: np.ndarray, invariant: np.ndarray) -> np.ndarray:
+        """Logarithms of site likelihoods. Rounding may leave tiny numbers below zero; others mean a broken model."""
+        if not (likelihood > -1e-9).all():
+            raise ValueError("a likelihood is negative or no number: the model is broken")
         if self.model.pinv:
             p = self.model.pinv
             constant = np.where(invariant > 0, np.log(np.maximum(p * invariant, 1e-300)), -np.inf)
@@ -143,6 +151,8 @@ class Reference:
         """Log-likelihood of the tree, computed at an edge; it is the same at all of them."""
         moved = np.einsum("kij,skj->ski", self.transitions(self.lengths[edge]), self.lower[edge])
         sites = np.einsum("k,i,ski,ski->s", self.weights, self.freqs, moved, self.upper[edge])
+        if not self.model.pinv and (sites <= 0).any():
+            raise ValueError("a site of the reference alignment is impossible under the model")
         return float(self._site_logs(sites, self.scale[edge], self.invariant).sum())
 
     def lookup(self) -> np.ndarray:

@@ -136,6 +136,15 @@ class Tree:
             )
         return top
 
+    def set_lengths(self, lengths: dict[int, float]) -> None:
+        """Other lengths for some edges. The joined edge of a tree whose rooting is kept has two parts and stays."""
+        for number, length in lengths.items():
+            if length <= 0:
+                raise ValueError("lengths must be positive")
+            if self.rooting is not None and number == self.rooting.root_edge:
+                raise ValueError("the edge holds the root")
+            self.edges[number].length = length
+
     @property
     def n_edges(self) -> int:
         return len(self.edges)

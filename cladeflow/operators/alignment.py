@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions import sites as S
@@ -10,9 +10,14 @@ from cladeflow.functions import sites as S
 WORD = 32
 
 
-def gap_mask(rows: DataFrame, width: int) -> list[bool]:
+def _flags(gaps: str) -> Column:
+    """Sites as 1 for a gap and 0 for all else. gaps: the symbols that count as one."""
+    return F.translate(F.regexp_replace(F.translate("sites", gaps, "-" * len(gaps)), "[^-]", "0"), "-", "1")
+
+
+def gap_mask(rows: DataFrame, width: int, gaps: str = "-") -> list[bool]:
     """Columns that are gaps in every row. Flags are packed into words and folded by bit_and: one row per task."""
-    flags = F.translate(F.regexp_replace("sites", "[^-]", "0"), "-", "1")
+    flags = _flags(gaps)
     words = [F.bit_and(F.conv(F.substring(flags, a + 1, WORD), 2, 10).cast("long")).alias(f"w{a}") for a in range(0, width, WORD)]
     found = rows.agg(*words).first()
     mask: list[bool] = []
@@ -23,9 +28,9 @@ def gap_mask(rows: DataFrame, width: int) -> list[bool]:
     return mask
 
 
-def mask_table(rows: DataFrame, width: int) -> DataFrame:
+def mask_table(rows: DataFrame, width: int, gaps: str = "-") -> DataFrame:
     """(pos, masked) of every column, without bringing the mask to the driver."""
-    flags = F.translate(F.regexp_replace("sites", "[^-]", "0"), "-", "1")
+    flags = _flags(gaps)
     words = [
         F.lpad(F.bin(F.bit_and(F.conv(F.substring(flags, a + 1, WORD), 2, 10).cast("long"))), min(WORD, width - a), "0")
         for a in range(0, width, WORD)
@@ -125,8 +130,3 @@ def entry_offsets(rows: DataFrame) -> DataFrame:
 
     size = (16 + F.octet_length("label") + F.ceil(F.length("sites") / 2)).cast("long")
     return running_sum(rows.withColumn("bytes", size), "seq_id", F.col("bytes"), "offset").select("seq_id", "bytes", "offset")
-
-
-def latest_by_label(rows: DataFrame) -> DataFrame:
-    """Row number of each sequence within its label."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("seq_id")).cast("long"))

@@ -212,11 +212,15 @@ def unplaceable(queries: DataFrame) -> DataFrame:
     return queries.where(range_span(normalise(F.col("sites"))) == 0)
 
 
-def masked_inputs(queries: DataFrame, sequences: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
-    """Both alignments without the columns that are gaps throughout either."""
+# Symbols that tell nothing of a site, by the number of states.
+GAPS = {4: "-?.NnXxOo", 20: "-?.Xx"}
+
+
+def masked_inputs(queries: DataFrame, sequences: dict[str, str], gaps: str = "-") -> tuple[DataFrame, dict[str, str]]:
+    """Both alignments without the columns that are gaps throughout either; ``GAPS`` has wider sets of gaps."""
     width = len(next(iter(sequences.values())))
-    mask = gap_mask(queries, width)
-    mask = [m or all(s[i] == "-" for s in sequences.values()) for i, m in enumerate(mask)]
+    mask = gap_mask(queries, width, gaps)
+    mask = [m or all(s[i] in gaps for s in sequences.values()) for i, m in enumerate(mask)]
     kept = {k: "".join(c for c, m in zip(s, mask) if not m) for k, s in sequences.items()}
     return queries.withColumn("sites", keep_columns(F.col("sites"), mask)), kept
 

@@ -6,13 +6,12 @@ the same column names. Doubles are rounded to nine places or fewer on both sides
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions import sites as S
-from cladeflow.functions.likelihood import Reference
+from cladeflow.functions import texts
+from cladeflow.functions.likelihood import Prescorer, Reference, encode
 from cladeflow.functions.models import parse_model
 from cladeflow.functions.trees import DEFAULT_LENGTH, Tree
 from cladeflow.operators import alignment as A
@@ -475,22 +474,118 @@ def jplace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("query", jplace.pquery_text().alias("json"))
 
 
-_EDGE_VALUES = ", ".join(
-    f"({e}, '{label}', {length!r}, {json.dumps(tip)})" for e, label, length, tip, _ in Tree(TREE, False).rows()
-)
+# Written by hand from the tree above: edges in postorder, the two at the root joined.
+_EDGE_VALUES = """
+(0, 'N0', 0.11, true), (1, 'N1', 0.2, true), (2, 'N2', 0.15, true), (3, '', 0.08, false), (4, 'N3', 0.3, true),
+(5, 'N4', 0.12, true), (6, '', 0.07, false), (7, 'N5', 0.18, true), (8, 'N6', 0.22, true), (9, 'N7', 0.09, true),
+(10, '', 0.06, false), (11, '', 0.1, false), (12, '', 0.05 + 0.04, false)"""
+_EDGE_ROWS = f"(VALUES {_EDGE_VALUES}) t(edge, label, length, tip)"
 
 
-@query(f"SELECT edge::INT AS edge, label, round(length::DOUBLE, 9) AS length, tip FROM (VALUES {_EDGE_VALUES}) t(edge, label, length, tip)")
+@query(f"SELECT edge::INT AS edge, label, round(length::DOUBLE, 9) AS length, tip FROM {_EDGE_ROWS}")
 def edge_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [r[:4] for r in Tree(TREE, False).rows()]
     return rounded(spark.createDataFrame(rows, "edge int, label string, length double, tip boolean"), "length")
 
 
-@query("SELECT 13::BIGINT AS edges, 8::BIGINT AS tips, 1.77::DOUBLE AS total")
+@query(f"SELECT count(*) AS edges, count_if(tip)::BIGINT AS tips, round(sum(length::DOUBLE), 9) AS total FROM {_EDGE_ROWS}")
 def tree_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [r[:4] for r in Tree(TREE, False).rows()]
-    edges = spark.createDataFrame(rows, "edge int, label string, length double, tip boolean")
-    return edges.agg(F.count("*").alias("edges"), F.count_if("tip").alias("tips"), F.round(F.sum("length"), 9).alias("total"))
+    tree = Tree(TREE, False)
+    return spark.createDataFrame([(tree.n_edges, len(tree.tips), round(tree.total_length, 9))], "edges long, tips long, total double")
+
+
+def _candidate_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, p): the placements of each query as the kernel hands them on, without weights."""
+    zero = F.lit(0.0)
+    item = F.struct(
+        F.col("edge").cast("int").alias("edge_num"),
+        F.col("logl").alias("likelihood"),
+        zero.alias("like_weight_ratio"),
+        (F.col("edge") / 1000.0).alias("distal_length"),
+        zero.alias("pendant_length"),
+    )
+    return inputs.pairs(spark, sf_dir).groupBy("query").agg(F.collect_list(item).alias("p"))
+
+
+def _array_rows(rows: DataFrame) -> DataFrame:
+    placed = rows.select("query", F.posexplode("p").alias("k", "x"))
+    found = placed.select("query", F.col("x.edge_num").cast("long").alias("edge"), (F.col("k") + 1).cast("long").alias("rn"), "x.like_weight_ratio")
+    return rounded(found.withColumnRenamed("like_weight_ratio", "lwr"), "lwr")
+
+
+@query(f"WITH {PAIRS} {_COLUMNS} (lwr > 0.01 AND rn <= 7) OR rn <= 1")
+def kernel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and output filter on arrays, as a run applies them."""
+    rows = _candidate_arrays(spark, sf_dir).withColumn("p", placement.weighted(F.col("p")))
+    return _array_rows(rows.withColumn("p", placement.filtered(F.col("p"), placement.Options())))
+
+
+@query(f"WITH {PAIRS} {_COLUMNS} (before < 0.9 AND rn <= 5) OR rn <= 2")
+def kernel_filter_by_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = placement.Options(by_sum=True, support_threshold=0.9, filter_min=2, filter_max=5)
+    rows = _candidate_arrays(spark, sf_dir).withColumn("p", placement.weighted(F.col("p")))
+    return _array_rows(rows.withColumn("p", placement.filtered(F.col("p"), options)))
+
+
+@query(f"""
+WITH {PAIRS}, placed AS (SELECT query, edge, edge / 1000e0 AS distal FROM pairs WHERE edge < 13
+  UNION ALL SELECT query, 12, 0.03 + edge / 2000e0 FROM pairs WHERE edge < 97)
+SELECT query, CASE WHEN edge < 4 THEN edge WHEN edge < 12 THEN edge + 1 WHEN distal > 0.04 THEN 4 ELSE 13 END AS edge,
+  round(CASE WHEN edge = 12 AND distal > 0.04 THEN 0.05e0 - (distal - 0.04e0) ELSE distal END, 9) AS distal FROM placed
+""")
+def kernel_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements on the tree above in the numbers of its rooted form, on arrays. Edge 12 holds the root."""
+    pairs = inputs.pairs(spark, sf_dir)
+    rows = pairs.where("edge < 13").select("query", "edge", (F.col("edge") / 1000.0).alias("distal"))
+    rows = rows.unionByName(pairs.select("query", F.lit(12).cast("long").alias("edge"), (0.03 + F.col("edge") / 2000.0).alias("distal")))
+    none = F.lit(0.0)
+    fields = none.alias("likelihood"), none.alias("like_weight_ratio"), F.col("distal").alias("distal_length"), none.alias("pendant_length")
+    rows = rows.select("query", F.array(F.struct(F.col("edge").cast("int").alias("edge_num"), *fields)).alias("p"))
+    moved = rows.withColumn("p", placement.rooted(F.col("p"), small_reference(spark, sf_dir)))
+    return rounded(moved.select("query", F.col("p")[0]["edge_num"].cast("long").alias("edge"), F.col("p")[0]["distal_length"].alias("distal")), "distal")
+
+
+def _change(length: str, a: str, b: str) -> str:
+    """SQL: probability of b after a along a length, all changes being equally likely."""
+    return f"(CASE WHEN {a} = {b} THEN 0.25e0 + 0.75e0 * exp(-4e0 * ({length}) / 3e0) ELSE 0.25e0 - 0.25e0 * exp(-4e0 * ({length}) / 3e0) END)"
+
+
+@query(f"""
+WITH {ALN}, {EDGES}, tips AS (SELECT edge, lower, length FROM edges WHERE edge < 3),
+cells AS (  -- a symbol in the middle of an edge of the tree of three tips
+  SELECT o.edge, pos, q.s AS symbol, ln(sum(0.25e0 * {_change("o.length / 2", "x.s", "substr(o.lower, pos::INT, 1)")}
+    * {_change(repr(DEFAULT_LENGTH), "x.s", "q.s")} * {_change("o.length / 2", "x.s", "y.s")}
+    * {_change("b.length", "y.s", "substr(b.lower, pos::INT, 1)")} * {_change("c.length", "y.s", "substr(c.lower, pos::INT, 1)")})) AS logl
+  FROM tips o JOIN tips b ON b.edge <> o.edge JOIN tips c ON c.edge > b.edge AND c.edge <> o.edge,
+    (SELECT unnest(range(1, {WIDTH} + 1)) AS pos), (SELECT unnest(['A', 'C', 'G', 'T']) AS s) q,
+    (SELECT unnest(['A', 'C', 'G', 'T']) AS s) x, (SELECT unnest(['A', 'C', 'G', 'T']) AS s) y
+  GROUP BY 1, 2, 3
+), letters AS (SELECT seq_id, unnest(range(1, {WIDTH} + 1)) AS pos, sites FROM aln)
+SELECT seq_id, edge, round(sum(logl), 6) AS logl FROM letters JOIN cells USING (pos)
+WHERE symbol = substr(sites, pos::INT, 1) GROUP BY 1, 2
+""")
+def kernel_prescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel's table of insertions and its matrix product, on a tree small enough for SQL."""
+    import numpy as np
+    import pyarrow as pa
+
+    tips = {r["edge"]: r for r in inputs.edge_sequences(spark, sf_dir).where("edge < 3").collect()}
+    newick = "(" + ",".join(f"T{e}:{tips[e]['length']!r}" for e in range(3)) + ");"
+    reference = Reference(Tree(newick), parse_model("JC"), {f"T{e}": r["lower"] for e, r in tips.items()})
+    shared = spark.sparkContext.broadcast(reference.lookup())
+
+    def run(batches):
+        prescore = Prescorer(shared.value, 4)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                scores = prescore(encode(part.column("sites").to_pylist(), 4))
+                ids = np.repeat(part.column("seq_id").to_numpy(), scores.shape[1])
+                edges = np.tile(np.arange(scores.shape[1]), len(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(edges), pa.array(scores.ravel())], ["seq_id", "edge", "logl"])
+
+    rows = inputs.alignment(spark, sf_dir).select("seq_id", "sites")
+    return rounded(rows.mapInArrow(run, "seq_id long, edge long, logl double"), "logl", digits=6)
 
 
 @query("""
@@ -499,12 +594,12 @@ SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lamb
 """)
 def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splitting with empty parts kept, joining with commas, fixed decimals."""
-    parts = F.split("p_name", " ", -1)
+    parts = texts.split_all(F.col("p_name"), " ")
     return table(spark, sf_dir, "part").select(
         "p_partkey",
-        F.array_join(F.transform(parts, F.upper), ", ").alias("joined"),
+        texts.joined(F.transform(parts, F.upper)).alias("joined"),
         F.size(parts).alias("parts"),
-        F.format_string("%.10f", "p_retailprice").alias("price"),
+        texts.fixed(F.col("p_retailprice")).alias("price"),
     )
 
 

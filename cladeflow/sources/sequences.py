@@ -79,9 +79,29 @@ def read_phylip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(run, "seq_id long, label string, sites string")
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 7) -> bytes:
+    """The first bytes of the first file of a path, wherever Hadoop's file systems reach; no more of it is read."""
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(path)
+    system = pattern.getFileSystem(conf)
+    found = list(system.globStatus(pattern) or [])
+    while found and found[0].isDirectory():
+        inside = sorted(system.listStatus(found[0].getPath()), key=lambda s: s.getPath().getName())
+        found = [s for s in inside if not s.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(path)
+    stream = system.open(found[0].getPath())
+    try:
+        read = [stream.read() for _ in range(min(n, found[0].getLen()))]
+    finally:
+        stream.close()
+    return bytes(b & 255 for b in read if b >= 0)
+
+
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """Whatever the file is: packed binary, FASTA or PHYLIP, told by its first bytes."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 7)).first()[0])
+    head = first_bytes(spark, path)
     if head.startswith(b"BFAST"):
         from cladeflow.sources.packed import PackedFasta
 

@@ -42,16 +42,19 @@ def _unique(model) -> list[float]:
 
 
 def load(spark: SparkSession, path: str) -> tuple[Reference, dict[str, str]]:
-    """The reference; conditionals are taken from the table, not computed."""
+    """The reference; conditionals are taken from the table, not computed. All edges must be there."""
     head = spark.read.parquet(f"{path}/head").first()
     sequences = dict(zip(head["labels"], head["sites"]))
-    reference = Reference(Tree(head["newick"]), parse_model(head["model"]), sequences)
-    shape = reference.lower.shape[1:]
+    reference = Reference(Tree(head["newick"]), parse_model(head["model"]), sequences, conditionals=False)
+    shape, filled = reference.lower.shape[1:], 0
     for r in edges(spark, path).toLocalIterator():
         e = r["edge_num"]
         reference.lower[e] = np.array(r["lower"]).reshape(shape)
         reference.upper[e] = np.array(r["upper"]).reshape(shape)
         reference.scale[e] = r["scale"]
+        filled += 1
+    if filled != reference.tree.n_edges:
+        raise ValueError("the store lacks edges")
     return reference, sequences
 
 
