@@ -9,6 +9,7 @@ to every task as one broadcast; its size is computed first and held against ``MA
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,20 +132,29 @@ ARROW = pa.schema(
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is computed once, not for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def weighted(p: Column) -> Column:
-    """The placements with weights, best first: a softmax over the array."""
-    best = F.array_max(F.transform(p, lambda x: x["likelihood"]))
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + F.exp(x["likelihood"] - best))
-    with_weight = F.transform(
-        p,
-        lambda x: F.struct(
-            x["edge_num"].alias("edge_num"),
-            x["likelihood"].alias("likelihood"),
-            (F.exp(x["likelihood"] - best) / total).alias("like_weight_ratio"),
-            x["distal_length"].alias("distal_length"),
-            x["pendant_length"].alias("pendant_length"),
-        ),
-    )
+    """The placements with weights, best first: a softmax over the array, in linear time but for the sort."""
+
+    def with_weights(best: Column, total: Column) -> Column:
+        return F.transform(
+            p,
+            lambda x: F.struct(
+                x["edge_num"].alias("edge_num"),
+                x["likelihood"].alias("likelihood"),
+                (F.exp(x["likelihood"] - best) / total).alias("like_weight_ratio"),
+                x["distal_length"].alias("distal_length"),
+                x["pendant_length"].alias("pendant_length"),
+            ),
+        )
+
+    sum_of = lambda best: F.aggregate(p, F.lit(0.0), lambda s, x: s + F.exp(x["likelihood"] - best))
+    most = F.array_max(F.transform(p, lambda x: x["likelihood"]))
+    with_weight = _let(most, lambda best: _let(sum_of(best), lambda total: with_weights(best, total)))
 
     def before(a: Column, b: Column) -> Column:
         same = a["like_weight_ratio"] == b["like_weight_ratio"]
@@ -158,8 +168,9 @@ def filtered(p: Column, options: Options) -> Column:
     """The output filter on a sorted array of placements."""
     ratio = F.transform(p, lambda x: x["like_weight_ratio"])
     if options.by_sum:
-        before = lambda i: F.aggregate(F.slice(ratio, F.lit(1), i), F.lit(0.0), lambda s, x: s + x)
-        kept = F.size(F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: before(i) < options.support_threshold))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+        more = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n"))
+        kept = F.aggregate(ratio, start, lambda s, x: F.when(s["sum"] < options.support_threshold, more(s, x)).otherwise(s))["n"]
     else:
         kept = F.size(F.filter(ratio, lambda x: x > options.support_threshold))
     kept = F.greatest(F.least(kept, F.lit(options.filter_max)), F.lit(options.filter_min))
