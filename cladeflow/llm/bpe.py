@@ -172,13 +172,15 @@ class Utf8Decoder:
     """Ids to text, in pieces, by the automaton of UTF-8.
 
     Its state is the bytes of an unfinished character, three at most, which wait between calls. A step reads a
-    whole token: it goes through the automaton byte by byte when first met in a state and is kept in ``steps``,
-    which decoders of one vocabulary share. Bytes that no character can have become U+FFFD, one for the
-    longest beginning of a character.
+    whole token: it goes through the automaton byte by byte when first met in a state and is kept, in ``steps`` and,
+    for the empty state, in ``fresh``, which the decoders of a vocabulary share. Bytes that no character can have
+    become U+FFFD, one for the longest beginning of a character.
     """
 
-    def __init__(self, tokens: list[bytes], steps: dict[tuple[bytes, int], tuple[str, bytes]] | None = None):
-        self.tokens, self.steps, self.state = tokens, {} if steps is None else steps, b""
+    def __init__(self, tokens: list[bytes], like: Utf8Decoder | None = None):
+        self.tokens, self.state = tokens, b""
+        self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {} if like is None else like.steps
+        self.fresh: list[tuple[str, bytes] | None] = [None] * len(tokens) if like is None else like.fresh
 
     @staticmethod
     def next_bytes(state: bytes) -> tuple[int, int]:
@@ -213,13 +215,17 @@ class Utf8Decoder:
         return "".join(out), state
 
     def feed(self, ids: list[int]) -> str:
-        state, steps, out = self.state, self.steps, []
+        state, steps, fresh, out = self.state, self.steps, self.fresh, []
         for number in ids:
-            step = steps.get((state, number))
+            step = steps.get((state, number)) if state else fresh[number]
             if step is None:
-                if len(steps) > MAX_STATES:
-                    steps.clear()
-                step = steps[state, number] = self._step(state, self.tokens[number])
+                step = self._step(state, self.tokens[number])
+                if not state:
+                    fresh[number] = step
+                else:
+                    if len(steps) > MAX_STATES:
+                        steps.clear()
+                    steps[state, number] = step
             text, state = step
             out.append(text)
         self.state = state
@@ -239,14 +245,14 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.names = list(map(str, range(len(self.tokens))))
-        self.steps: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self.automaton = Utf8Decoder(self.tokens)
         self.cache = PreTokenCache(lambda texts: [self.transducer.encode(t.encode()) for t in texts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.cache.ids(Pieces(texts))
 
     def decode(self, ids: list[int], step: int = 4096) -> str:
-        decoder = Utf8Decoder(self.tokens, self.steps)
+        decoder = Utf8Decoder(self.tokens, self.automaton)
         return "".join([*(decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)), decoder.close()])
 
 

@@ -101,10 +101,10 @@ def test_decoder_is_the_one_of_python():
     rng = random.Random(6)
     tokens = [bytes(rng.choice([rng.randrange(256), 0x61, 0x80, 0xBF, 0xE0, 0xED, 0xF0, 0xF4]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
     tokens += [c.encode() for c in "aé日👍\ud7ff\U0010ffff"]
-    steps: dict = {}
+    automaton = bpe.Utf8Decoder(tokens)
     for _ in range(800):
         ids = [rng.randrange(len(tokens)) for _ in range(rng.randint(0, 12))]
-        decoder, data = bpe.Utf8Decoder(tokens, steps), b"".join(tokens[i] for i in ids)
+        decoder, data = bpe.Utf8Decoder(tokens, automaton), b"".join(tokens[i] for i in ids)
         found = []
         for k in range(0, len(ids), 2):
             found.append(decoder.feed(ids[k : k + 2]))
