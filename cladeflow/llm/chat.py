@@ -66,8 +66,8 @@ def examples(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of conversations from their examples alone."""
-    parts = F.split("formatted", END, -1)
+    """Digests of conversations from their examples alone; the turns are read from the longest one only."""
+    parts = F.split("longest", END, -1)
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
 
     def line(part: Column) -> Column:
@@ -83,21 +83,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
     rows = formatted.select(
         "conv_id",
         "example",
+        "formatted",
         loss.alias("loss"),
         F.length("formatted").cast("long").alias("chars"),
-        F.size(parts).cast("long").alias("n_turns"),
-        F.array_join(F.transform(parts, line), "").alias("turns"),
     )
     found = rows.groupBy("conv_id").agg(
-        F.max("n_turns").alias("n_turns"),
-        F.max_by("turns", "example").alias("turns"),
+        F.max_by("formatted", "example").alias("longest"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
         F.sum("chars").alias("formatted_chars"),
     )
     return found.select(
         "conv_id",
-        "n_turns",
-        F.sha2("turns", 256).alias("turns_sha256"),
+        F.size(parts).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(parts, line), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
