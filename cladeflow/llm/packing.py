@@ -27,6 +27,7 @@ import json
 import random
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -285,7 +286,11 @@ def evolve(
     return [p for _, _, p in scored]
 
 
-ITEM = "struct<length:bigint,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint>"
+def one_by_one(batches) -> Iterator[dict]:
+    """Rows as Python values, one at a time: each holds a whole block, a batch of them as objects would be gigabytes."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -303,18 +308,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
     for epoch in range(epochs):
 
         def run(batches, epoch=epoch):
-            for batch in batches:
-                rows = batch.to_pylist()
-                for r in rows:
-                    sizes = r["sizes"]
-                    loose = [i for i, s in enumerate(sizes) if s < capacity]
-                    small = [sizes[i] for i in loose]
-                    start = [unlabel(small, capacity, p) for p in r["people"]]
-                    seed = (r["block"] * islands + r["island"]) * epochs + epoch
-                    best = evolve(small, capacity, start, seed)
-                    r["people"] = [labels(p) for p in best]
-                    r["fitness"] = best[0].fitness()
-                yield pa.RecordBatch.from_pylist(rows, schema=TYPES)
+            for r in one_by_one(batches):
+                small = [s for s in r["sizes"] if s < capacity]
+                start = [unlabel(small, capacity, p) for p in r["people"]]
+                seed = (r["block"] * islands + r["island"]) * epochs + epoch
+                best = evolve(small, capacity, start, seed)
+                r["people"] = [labels(p) for p in best]
+                r["fitness"] = best[0].fitness()
+                yield pa.RecordBatch.from_pylist([r], schema=TYPES)
 
         evolved = state.repartition(parts, "block", "island").select("block", "island", "sizes", "people").mapInArrow(
             run, "block long, island int, sizes array<bigint>, people array<array<int>>, fitness double"
@@ -332,22 +333,17 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
     )
 
     def lay_out(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                items, bins = r["items"], iter(r["bins"])
-                top = max(r["bins"], default=-1) + 1
-                used: dict[int, int] = {}
-                rows = []
-                for item in items:
-                    if item["length"] < capacity:
-                        number = next(bins)
-                    else:
-                        number, top = top, top + 1
-                    offset = used.get(number, 0)
-                    used[number] = offset + item["length"]
-                    sequence = (r["block"] << 20) + number
-                    rows.append({**{k: item[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": sequence, "offset": offset})
-                yield pa.RecordBatch.from_pylist(rows, schema=OUTPUT)
+        for r in one_by_one(batches):
+            bins, top = iter(r["bins"]), max(r["bins"], default=-1) + 1
+            used: dict[int, int] = {}
+            for item in r["items"]:
+                if item["length"] < capacity:
+                    number = next(bins)
+                else:
+                    number, top = top, top + 1
+                item["sequence_id"], item["offset"] = (r["block"] << 20) + number, used.get(number, 0)
+                used[number] = item["offset"] + item["length"]
+            yield pa.RecordBatch.from_pylist(r["items"], schema=OUTPUT)
 
     return blocks.join(best, "block").select("block", "items", "bins").mapInArrow(
         lay_out, PIECES + ", sequence_id long, offset long"
