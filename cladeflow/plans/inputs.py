@@ -11,7 +11,7 @@ WIDTH = 64
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 HEX = "0123456789abcdef"
-CHUNKS = 100_000  # ids left for the chunks of one text
+CHUNKS = 1 << 25  # ids left for the chunks of one text: as many as a string of 2**31 letters has
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

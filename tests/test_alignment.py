@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import sites as S
 from cladeflow.operators import alignment as A
-from cladeflow.operators.ordering import row_numbers
+from cladeflow.operators.ordering import row_numbers, running_sum
 
 ROWS = [(0, "a", "---ATAGCT--"), (1, "b", "--GATAG-T--"), (2, "a", "-----------"), (3, "c", "---ATAGCT--")]
 
@@ -69,3 +69,14 @@ def test_symbols(spark):
 def test_dense_numbers(spark):
     ids = spark.range(0, 5_000_000, 50_000).withColumnRenamed("id", "k")
     assert [r["n"] for r in row_numbers(ids, "k", "n").orderBy("k").collect()] == list(range(100))
+
+
+def test_running_sum_in_levels(spark):
+    """Against a plain loop: negative orders, orders no double can hold, and windows of three rows at most."""
+    orders = [-(1 << 62), -7, -3, -1, 0, 1, 2, 5, 9, 26, 27, 700, (1 << 53) + 1, (1 << 53) + 2, (1 << 62) + 3]
+    rows = spark.createDataFrame([(k, i + 1) for i, k in enumerate(orders)], "k long, v long")
+    wanted = [sum(range(1, i + 1)) for i in range(len(orders))]
+    for levels in (0, 1, 2, 3):
+        found = running_sum(rows, "k", F.col("v"), "s", bucket=3, levels=levels).orderBy("k").collect()
+        assert [(r["k"], r["v"], r["s"]) for r in found] == list(zip(orders, range(1, 16), wanted))
+    assert running_sum(rows.where("k > 800 and k < 900"), "k", F.col("v"), "s").collect() == []
