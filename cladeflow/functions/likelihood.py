@@ -65,6 +65,42 @@ def valid_sites(codes: np.ndarray, states: int) -> np.ndarray:
     return np.logical_or.accumulate(solid, axis=1) & np.logical_or.accumulate(solid[:, ::-1], axis=1)[:, ::-1]
 
 
+class Search:
+    """One edge as ``Reference.thorough`` sees it: its grid, shares of the edge by pendant lengths, and the likelihoods
+    of the rest of the tree from any place on it."""
+
+    def __init__(self, reference: Reference, edge: int):
+        n_cat = len(reference.rates)
+        self.site_logs = reference._site_logs
+        self.vectors, inverse, self.turn = reference._blocks()
+        self.lower = reference.lower[edge].reshape(reference.width, -1) @ inverse.T
+        self.upper = reference.upper[edge].reshape(reference.width, -1) @ inverse.T
+        self.scale, self.length = reference.scale[edge], float(reference.lengths[edge])
+        self.table = tip_table(reference.states)
+        self.tips = np.tile(self.table @ reference.inverse.T, n_cat)
+        self.shared = reference._shared(self.table)
+        self.weight = np.repeat(reference.weights, reference.states) * np.tile(reference.freqs, n_cat)
+        self.first = min(SHORTEST / 2, self.length / 2)
+        self.last = self.length - self.first / 10
+        self.places = self.first + (self.length - 2 * self.first) * np.linspace(0, 1, 7)
+        self.pendants = np.append(DEFAULT_LENGTH, np.geomspace(SHORTEST, 3.0, 13))
+        self.gap = (self.length - 2 * self.first) / 6
+
+    def middle(self, distal: np.ndarray) -> np.ndarray:
+        """(place, site, state) likelihoods of the rest of the tree at places on the edge."""
+        a = np.exp(distal[:, None] * self.turn)[:, None, :] * self.lower
+        b = np.exp((self.length - distal)[:, None] * self.turn)[:, None, :] * self.upper
+        size = self.vectors.shape[0]
+        a, b = a.reshape(-1, size) @ self.vectors.T, b.reshape(-1, size) @ self.vectors.T
+        return ((a * b * self.weight) @ self.vectors).reshape(len(distal), -1, size)
+
+    def logs(self, places: np.ndarray, pendants: np.ndarray, symbols: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """(site, symbol, place, pendant) log-likelihoods."""
+        at_tip = np.exp(pendants[:, None] * self.turn)[:, None, :] * self.tips[symbols]
+        likelihood = np.einsum("dsk,pck->scdp", self.middle(places), at_tip, optimize=True)
+        return self.site_logs(likelihood, self.scale[:, None, None, None], self.shared[:, symbols, None, None])
+
+
 class Reference:
     """Tree, model and alignment ready for insertions. sequences: sites by tip label; conditionals: whether they are
     computed, or only given room to be filled from a store."""
@@ -181,6 +217,9 @@ class Reference:
         n = len(self.rates)
         return np.kron(np.eye(n), self.vectors), np.kron(np.eye(n), self.inverse), np.outer(self.rates, self.values).ravel()
 
+    def search(self, edge: int) -> Search:
+        return Search(self, edge)
+
     def thorough(self, edge: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logl, distal, pendant) at the best place on an edge, of several sequences at once.
 
@@ -188,25 +227,14 @@ class Reference:
         pendant length is improved by Newton's method and the distal length by golden section, in turns,
         until the log-likelihood gains less than ``TOLERANCE``; a turn that makes it worse is undone.
         """
-        table, mask = tip_table(self.states), valid_sites(codes, self.states)
-        n, n_cat = len(codes), len(self.rates)
-        vectors, inverse, turn = self._blocks()
-        lower = self.lower[edge].reshape(self.width, -1) @ inverse.T
-        upper = self.upper[edge].reshape(self.width, -1) @ inverse.T
-        scale, length = self.scale[edge], float(self.lengths[edge])
-        tips = np.tile(table @ self.inverse.T, n_cat)[codes]  # in the basis of the eigenvectors
-        shared = self._shared(table)
-        weight = np.repeat(self.weights, self.states) * np.tile(self.freqs, n_cat)
+        search = self.search(edge)
+        table, mask, turn = search.table, valid_sites(codes, self.states), search.turn
+        n = len(codes)
+        scale, length, edge_of, middle = search.scale, search.length, search.first, search.middle
+        places, pendants, gap = search.places, search.pendants, search.gap
+        tips = search.tips[codes]  # in the basis of the eigenvectors
+        shared = search.shared
         invariant = np.take_along_axis(shared, codes.astype(np.int64).T, axis=1).T if self.model.pinv else None
-        edge_of = min(SHORTEST / 2, length / 2)
-
-        def middle(distal: np.ndarray) -> np.ndarray:
-            """(place, site, state) likelihoods of the rest of the tree at places on the edge."""
-            a = np.exp(distal[:, None] * turn)[:, None, :] * lower
-            b = np.exp((length - distal)[:, None] * turn)[:, None, :] * upper
-            size = vectors.shape[0]
-            a, b = a.reshape(-1, size) @ vectors.T, b.reshape(-1, size) @ vectors.T
-            return ((a * b * weight) @ vectors).reshape(len(distal), -1, size)
 
         def logl(summed: np.ndarray, pendant: np.ndarray, own: np.ndarray) -> np.ndarray:
             sites = np.einsum("nsk,nk->ns", summed, np.exp(pendant[:, None] * turn))
@@ -216,25 +244,19 @@ class Reference:
         def score(distal: np.ndarray, pendant: np.ndarray, own: np.ndarray) -> np.ndarray:
             return logl(middle(distal) * tips[own], pendant, own)
 
-        # the grid: shares of the edge by pendant lengths
-        places = edge_of + (length - 2 * edge_of) * np.linspace(0, 1, 7)
-        pendants = np.append(DEFAULT_LENGTH, np.geomspace(SHORTEST, 3.0, 13))
-        at_tip = np.exp(pendants[:, None] * turn)[:, None, :] * np.tile(table @ self.inverse.T, n_cat)
-        likelihood = np.einsum("dsk,pck->scdp", middle(places), at_tip)
-        logs = self._site_logs(likelihood, scale[:, None, None, None], shared[:, :, None, None])
+        logs = search.logs(places, pendants)
         hot = np.zeros((n, self.width, len(table)))
         np.put_along_axis(hot, codes[:, :, None].astype(np.int64), 1.0, axis=2)
         hot *= mask[:, :, None]
         found = (hot.reshape(n, -1) @ logs.reshape(self.width * len(table), -1)).argmax(axis=1)
         distal, pendant = places[found // len(pendants)], pendants[found % len(pendants)]
-        gap = (length - 2 * edge_of) / 6
         every = np.arange(n)
         best, own = score(distal, pendant, every), every
         for _ in range(SMOOTHINGS):
             summed = middle(distal[own]) * tips[own]
             new_pendant = self._newton(summed, pendant[own], mask[own], turn, scale, None if invariant is None else invariant[own])
             low = np.maximum(distal[own] - gap, edge_of)
-            high = np.minimum(distal[own] + gap, length - edge_of / 10)
+            high = np.minimum(distal[own] + gap, search.last)
             golden = (5**0.5 - 1) / 2
             x1, x2 = high - golden * (high - low), low + golden * (high - low)
             f1, f2 = score(x1, new_pendant, own), score(x2, new_pendant, own)

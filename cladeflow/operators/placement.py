@@ -2,9 +2,10 @@
 
 One map over the queries does all numeric work: a matrix product scores every query on every edge, the
 candidates of each query are chosen at once, so the pairs are never laid out as rows, and the candidates of a
-batch are scored thoroughly, edge by edge. What leaves the map is one row a query with an array of its
-candidates; weights and output filters are array functions on that row. No step shuffles. The reference goes
-to every task as one broadcast; its size is computed first and held against ``MAX_BROADCAST``.
+batch are scored thoroughly, edge by edge, on the surfaces of ``functions.surfaces``. Weights, output filter and rooted
+numbers follow in the map, and what leaves it is one row a query with an array of its placements; ``weighted``,
+``filtered`` and ``rooted`` are the same as functions of such arrays. No step shuffles. The reference goes to every
+task as one broadcast; its size is computed first and held against ``MAX_BROADCAST``.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions.likelihood import Prescorer, Reference, encode
 from cladeflow.functions.sites import keep_columns, normalise, range_span
+from cladeflow.functions.surfaces import Surfaces
 from cladeflow.operators.alignment import gap_mask
 
 MAX_BROADCAST = 1 << 30
+BLOCK, ROWS = 2048, 10000  # sequences that go through a surface at once, and through the map
 PLACED = (
     "seq_id long, names array<string>, p array<struct<edge_num:int,likelihood:double,"
     "like_weight_ratio:double,distal_length:double,pendant_length:double>>"
@@ -78,38 +81,115 @@ def choose(scores: np.ndarray, options: Options) -> np.ndarray:
 
 def candidates(queries: DataFrame, reference: Reference, options: Options, columns: np.ndarray | None = None) -> DataFrame:
     """(seq_id, names, p) with all candidates of each query and no weights yet."""
+    return _scored(queries, reference, options, lambda found, n: found)
+
+
+def _scored(queries: DataFrame, reference: Reference, options: Options, finish: Callable[[Found, int], Found]) -> DataFrame:
+    """(seq_id, names, p) of what ``finish`` makes of the candidates."""
     lookup = reference.lookup()
     size = lookup.nbytes + reference.lower.nbytes + reference.upper.nbytes
     if size > MAX_BROADCAST:
         raise ValueError(f"the reference takes {size} bytes; place on parts of the tree or raise MAX_BROADCAST")
-    shared = queries.sparkSession.sparkContext.broadcast((reference, lookup))
+    shared = queries.sparkSession.sparkContext.broadcast((reference, lookup, Surfaces.of(reference, lookup)))
 
     def run(batches):
-        tree, table = shared.value
-        prescore = Prescorer(table, tree.states)
+        tree, table, surfaces = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, options.chunk_size):
-                part = batch.slice(a, options.chunk_size)
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
                 codes = encode(part.column("sites").to_pylist(), tree.states)
-                rows, edges = np.nonzero(choose(prescore(codes), options))
-                found: list[list] = [[] for _ in range(len(codes))]
-                for edge in np.unique(edges).tolist():
-                    own = rows[edges == edge]
-                    logl, distal, pendant = tree.thorough(edge, codes[own])
-                    for r, *values in zip(own.tolist(), logl.tolist(), distal.tolist(), pendant.tolist()):
-                        found[r].append((edge, values[0], 0.0, values[1], values[2]))
-                fields = ("edge_num", "likelihood", "like_weight_ratio", "distal_length", "pendant_length")
-                yield pa.RecordBatch.from_pylist(
-                    [
-                        {"seq_id": i, "names": names, "p": [dict(zip(fields, p)) for p in placed]}
-                        for i, names, placed in zip(part.column("seq_id").to_pylist(), part.column("names").to_pylist(), found)
-                    ],
-                    schema=ARROW,
-                )
+                found = finish(search(codes, tree, table, surfaces, options), len(codes))
+                yield pa.RecordBatch.from_arrays([part.column("seq_id"), part.column("names").cast(ARROW.field("names").type), found.arrays(len(codes))], schema=ARROW)
 
     return queries.select("seq_id", "names", "sites").mapInArrow(run, PLACED)
 
 
+@dataclass
+class Found:
+    """Placements of the sequences of a batch: one element a placement, those of a sequence together."""
+
+    rows: np.ndarray
+    edges: np.ndarray
+    logl: np.ndarray
+    ratio: np.ndarray
+    distal: np.ndarray
+    pendant: np.ndarray
+
+    def take(self, which: np.ndarray) -> Found:
+        return Found(*(x[which] for x in vars(self).values()))
+
+    def arrays(self, n: int) -> pa.Array:
+        """The array of placements of each of n sequences."""
+        ends = np.concatenate([[0], np.cumsum(np.bincount(self.rows, minlength=n))]).astype(np.int32)
+        item = ARROW.field("p").type.value_type
+        values = [pa.array(x, f.type) for x, f in zip((self.edges.astype(np.int32), self.logl, self.ratio, self.distal, self.pendant), item)]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, fields=list(item)), type=ARROW.field("p").type)
+
+
+def search(codes: np.ndarray, reference: Reference, lookup: np.ndarray, surfaces: Surfaces | None, options: Options) -> Found:
+    """All candidates of the sequences with their best places, by sequence and edge."""
+    out: list[tuple] = []
+    # sequences and edges that go to Reference.thorough
+    rest_rows, rest_edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    other = np.ones(len(codes), bool)
+    for rows, hot in surfaces.hot(codes) if surfaces else ():
+        other[rows] = False
+        for a in range(0, len(rows), BLOCK):
+            block, own_hot = rows[a : a + BLOCK], hot[a : a + BLOCK]
+            chosen = choose(surfaces.prescore(own_hot), options)
+            for edge in range(chosen.shape[1]):
+                own = np.flatnonzero(chosen[:, edge])
+                if len(own):
+                    logl, distal, pendant, stayed = surfaces.edges[edge].thorough(own_hot[own])
+                    on = np.flatnonzero(stayed)
+                    out.append((block[own[on]], np.full(len(on), edge), logl[on], distal[on], pendant[on]))
+                    rest_rows.append(block[own[~stayed]])
+                    rest_edges.append(np.full(len(own) - len(on), edge))
+    other = np.flatnonzero(other)
+    prescore = Prescorer(lookup, reference.states)
+    for a in range(0, len(other), options.chunk_size):
+        rows, edges = np.nonzero(choose(prescore(codes[other[a : a + options.chunk_size]]), options))
+        rest_rows.append(other[a + rows])
+        rest_edges.append(edges)
+    rows, edges = np.concatenate(rest_rows), np.concatenate(rest_edges)
+    for edge in np.unique(edges).tolist():
+        own = rows[edges == edge]
+        for a in range(0, len(own), options.chunk_size):
+            part = own[a : a + options.chunk_size]
+            out.append((part, np.full(len(part), edge), *reference.thorough(edge, codes[part])))
+    rows, edges, logl, distal, pendant = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((edges, rows))
+    return Found(rows, edges, logl, np.zeros(len(rows)), distal, pendant).take(order)
+
+
+def finished(found: Found, n: int, options: Options, reference: Reference) -> Found:
+    """Weights, output filter and, if asked for, rooted numbers: as ``weighted``, ``filtered`` and ``rooted``."""
+    best = np.full(n, -np.inf)
+    np.maximum.at(best, found.rows, found.logl)
+    share = np.exp(found.logl - best[found.rows])
+    found.ratio = share / np.bincount(found.rows, share, minlength=n)[found.rows]
+    found = found.take(np.lexsort((found.edges, -found.ratio, found.rows)))
+    size = np.bincount(found.rows, minlength=n)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(len(found.rows)) - first[found.rows]
+    if options.by_sum:
+        # sums in the order of the placements, sequence by sequence
+        ratio = np.zeros((n, int(size.max(initial=0))))
+        ratio[found.rows, place] = found.ratio
+        before = np.concatenate([np.zeros((n, 1)), np.cumsum(ratio, axis=1)], axis=1)[found.rows, place]
+        kept = np.bincount(found.rows, before < options.support_threshold, minlength=n)
+    else:
+        kept = np.bincount(found.rows, found.ratio > options.support_threshold, minlength=n)
+    kept = np.maximum(np.minimum(kept, options.filter_max), options.filter_min)
+    found = found.take(np.flatnonzero(place < kept[found.rows]))
+    r = reference.tree.rooting
+    if options.preserve_rooting and r is not None:
+        over = (found.edges == r.root_edge) & (found.distal > r.distal_length)
+        found.distal = np.where(over, r.proximal_length - (found.distal - r.distal_length), found.distal)
+        found.edges = np.where(over, r.proximal_edge, np.array(r.numbers)[found.edges])
+    return found
+
+
 ARROW = pa.schema(
     [
         ("seq_id", pa.int64()),
@@ -210,12 +290,7 @@ def place(queries: DataFrame, reference: Reference, options: Options | None = No
         ready = ready.repartition(parts, "sites").groupBy("sites").agg(F.min("seq_id").alias("seq_id"), members["label"].alias("names"))
     else:
         ready = ready.withColumn("names", F.array("label"))
-    placed = candidates(ready, reference, options)
-    placed = placed.withColumn("p", weighted(F.col("p")))
-    placed = placed.withColumn("p", filtered(F.col("p"), options))
-    if options.preserve_rooting and reference.tree.rooting is not None:
-        placed = placed.withColumn("p", rooted(F.col("p"), reference))
-    return placed
+    return _scored(ready, reference, options, lambda found, n: finished(found, n, options, reference))
 
 
 def unplaceable(queries: DataFrame) -> DataFrame:
