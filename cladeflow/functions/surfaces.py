@@ -21,6 +21,7 @@ from cladeflow.functions.likelihood import Reference
 
 SHORT = 0.01  # shortest pendant length of a surface
 PLACES, PENDANTS = 32, 64  # nodes along an edge and along the pendant lengths
+NODES = 1024  # of Newton's method, which goes on from the nearest by a Taylor series
 ACCURACY = 1e-8  # of the log-likelihood of a site and symbol
 RANK = 1e-7  # singular values below this are dropped
 USUAL = 0.4  # below this pendant length, few searches end and less accuracy will do
@@ -68,18 +69,19 @@ class _Edge:
         basis = _fit(PENDANTS) @ (out / weight[:, None])
         self.shape = along.shape[1], basis.shape[1]
         self.table = self._rows(surface)
-        first = np.polynomial.chebyshev.chebder(basis)
-        second = np.polynomial.chebyshev.chebder(first)
         self.basis = np.ascontiguousarray(basis)
-        self.slopes = np.zeros((PENDANTS, 2 * self.shape[1]))
-        self.slopes[: PENDANTS - 1, : self.shape[1]] = first / _half()
-        self.slopes[: PENDANTS - 2, self.shape[1] :] = second / _half() ** 2
+        # first to fourth derivatives of the functions by the logarithm of the pendant length, at NODES of it
+        at, derivatives = _terms(np.linspace(-1, 1, NODES), PENDANTS), []
+        for k in range(1, 5):
+            basis = np.polynomial.chebyshev.chebder(basis) / _half()
+            derivatives.append(at[:, : len(basis)] @ basis / (1, 1, 2, 6)[k - 1])
+        self.slopes = np.ascontiguousarray(np.stack(derivatives, axis=1))
         # between the nodes
         pendants = np.exp(_center() + _half() * np.linspace(-1, 1, 120))
         distal = self.distal(np.linspace(-1, 1, 50))
         want = search.logs(distal, pendants, symbols)
         surface = surface.reshape(*logs.shape[:2], *self.shape)
-        got = np.einsum("dk,sckr,pr->scdp", self.along(distal), surface, self.outward(pendants) @ basis, optimize=True)
+        got = np.einsum("dk,sckr,pr->scdp", self.along(distal), surface, self.outward(pendants) @ self.basis, optimize=True)
         bad = np.flatnonzero(~(np.abs(got - want) < ACCURACY).all(axis=(0, 1, 2)))
         self.trusted = float(pendants[bad[-1]]) if len(bad) else SHORT  # an end of a search must lie above
 
@@ -113,11 +115,15 @@ class _Edge:
         x = start.copy()
         low, high = np.full(len(x), L.SHORTEST), np.full(len(x), L.LONGEST)
         live, own = np.arange(len(x)), line
+        step_of, start_of = 2 * _half() / (NODES - 1), np.log(SHORT)
         for _ in range(30):
             at = x[live]
-            slopes = self.outward(at) @ self.slopes
-            d1 = np.einsum("nr,nr->n", own, slopes[:, : self.shape[1]])
-            d2 = np.einsum("nr,nr->n", own, slopes[:, self.shape[1] :])
+            far = (np.log(at) - start_of) / step_of
+            node = np.rint(far).astype(np.int64)
+            far = (far - node) * step_of
+            c1, c2, c3, c4 = np.matmul(self.slopes[node], own[:, :, None])[:, :, 0].T
+            d1 = ((c4 * far + c3) * far + c2) * far + c1
+            d2 = (3 * c4 * far + 2 * c3) * far + c2
             slope, bend = d1 / at, (d2 - d1) / (at * at)
             up = slope > 0
             least, most = np.where(up, at, low[live]), np.where(up, high[live], at)
@@ -139,21 +145,18 @@ class _Edge:
         best = np.take_along_axis(grid, found[:, None], axis=1)[:, 0]
         distal, pendant = search.places[found // len(search.pendants)], search.pendants[found % len(search.pendants)]
         stayed = pendant >= SHORT
-        own = np.flatnonzero(stayed)
-        surface = (hot[own] @ self.table[:rows]).reshape(len(own), *self.shape)
+        own = np.arange(len(hot))
+        surface = (hot @ self.table[:rows]).reshape(len(own), *self.shape)
         gap, golden = search.gap, (5**0.5 - 1) / 2
         for _ in range(L.SMOOTHINGS):
             if not len(own):
                 break
-            at = distal[own]
+            at, start = distal[own], np.where(stayed[own], pendant[own], SHORT)
             line = np.einsum("nk,nkr->nr", self.along(at), surface)
-            new_pendant = self.newton(line, pendant[own])
-            on = new_pendant > self.trusted
-            if not on.all():
-                stayed[own[~on]] = False
-                own, surface, line, at, new_pendant = own[on], surface[on], line[on], at[on], new_pendant[on]
-                if not len(own):
-                    break
+            new_pendant = self.newton(line, start)
+            on = (new_pendant > self.trusted) & stayed[own]
+            stayed[own[~on]] = False
+            new_pendant = np.where(on, new_pendant, SHORT)
             outward = self.outward(new_pendant) @ self.basis
             across = np.einsum("nkr,nr->nk", surface, outward)
 
@@ -173,7 +176,7 @@ class _Edge:
             stay = np.einsum("nr,nr->n", line, outward)
             new_distal, now = np.where(stay >= now, at, new_distal), np.maximum(stay, now)
             gain = now - best[own]
-            better = gain > 0
+            better = (gain > 0) & on
             into = own[better]
             distal[into], pendant[into], best[into] = new_distal[better], new_pendant[better], now[better]
             more = better & (gain >= L.TOLERANCE)

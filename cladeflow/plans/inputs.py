@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,9 @@ WIDTH = 64
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 HEX = "0123456789abcdef"
+PIECE = WIDTH << 14  # bases cut at once
+_TO_BASE = bytes.maketrans((LETTERS + LETTERS.lower()).encode(), (BASES * 2).encode())
+_OTHERS = bytes(b for b in range(256) if chr(b) not in LETTERS + LETTERS.lower())
 CHUNKS = 1 << 25  # ids left for the chunks of one text: as many as a string of 2**31 letters has
 
 
@@ -22,16 +30,40 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters of every whole text as nucleotides, cut into rows of equal width; the last row of a text is
     filled with gaps. (seq_id, doc_id, label, sites)"""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    bases = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES)
-    rows = docs.select("doc_id", bases.alias("bases")).where("length(bases) > 0")
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / WIDTH).cast("int"))).alias("chunk")
-    rows = rows.select("doc_id", "bases", chunk)
-    return rows.select(
-        (F.col("doc_id") * CHUNKS + F.col("chunk")).cast("long").alias("seq_id"),
-        "doc_id",
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("label"),
-        F.rpad(F.expr(f"substring(bases, chunk * {WIDTH} + 1, {WIDTH})"), WIDTH, "-").alias("sites"),
-    )
+    schema = f"seq_id long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, label string, sites string"
+    return docs.where("text IS NOT NULL").mapInArrow(_cut, schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In bytes: only the letters A to Z of both cases stay, and no byte of another UTF-8 character is one of them."""
+    for batch in batches:
+        pieces: list[tuple[int, int, bytes]] = []  # place of the text in the batch, first chunk, bases
+        size = 0
+        for k, text in enumerate(batch.column(1).cast(pa.binary())):
+            bases = text.as_py().translate(_TO_BASE, _OTHERS)
+            for a in range(0, len(bases), PIECE):
+                pieces.append((k, a // WIDTH, bases[a : a + PIECE]))
+                size += len(pieces[-1][2])
+                if size >= PIECE:
+                    yield _chunks(batch.column(0), pieces)
+                    pieces, size = [], 0
+        if pieces:
+            yield _chunks(batch.column(0), pieces)
+
+
+def _chunks(doc_ids: pa.Array, pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    counts = np.array([-(-len(p[2]) // WIDTH) for p in pieces])
+    n, ends = int(counts.sum()), np.cumsum(counts)
+    chunk = np.arange(n) - np.repeat(ends - counts - np.array([p[1] for p in pieces]), counts)
+    own = doc_ids.take(pa.array([p[0] for p in pieces]))
+    label = pc.binary_join_element_wise("d", own.cast(pa.string()), "")
+    which = pa.array(np.repeat(np.arange(len(pieces)), counts))
+    data = b"".join(p[2].ljust(c * WIDTH, b"-") for p, c in zip(pieces, counts.tolist()))
+    places = pa.array(np.arange(n + 1, dtype=np.int32) * WIDTH)
+    sites = pa.StringArray.from_buffers(n, places.buffers()[1], pa.py_buffer(data))
+    doc_id = own.take(which)
+    seq_id = pc.add_checked(pc.multiply_checked(doc_id.cast(pa.int64()), CHUNKS), pa.array(chunk))
+    return pa.RecordBatch.from_arrays([seq_id, doc_id, label.take(which), sites], ["seq_id", "doc_id", "label", "sites"])
 
 
 ALN = f"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import likelihood as L
 from cladeflow.functions import models as M
+from cladeflow.functions import surfaces
+from cladeflow.functions.surfaces import Surfaces
 from cladeflow.functions.trees import DEFAULT_LENGTH, Tree, parse_newick
 from cladeflow.operators import equalrates, placement
 from cladeflow.plans import inputs, registry
@@ -266,3 +268,51 @@ def test_stream_equals_batch(spark, tmp_path, reference):
 
 def test_default_length():
     assert DEFAULT_LENGTH == pytest.approx(-math.log(0.9))
+
+
+def test_surfaces_are_thorough(spark, reference):
+    rows = [r["sites"] for r in inputs.alignment(spark, SF).where("seq_id < 500000000").select("sites").collect()][:400]
+    table = L.tip_table(4)
+    tip = "".join(L.NUCLEOTIDES[int(np.flatnonzero((table == row).all(1))[-1])] for row in reference.tips[reference.tree.tips[2].number])
+    rows += [tip, tip[:30] + "-" * 10 + tip[40:], "RYN" + rows[0][3:]]  # a copy of a tip, a gap inside, several states
+    codes, lookup, options = L.encode(rows, 4), reference.lookup(), placement.Options()
+    tables = Surfaces.of(reference, lookup)
+    fast = placement.search(codes, reference, lookup, tables, options)
+    slow = placement.search(codes, reference, lookup, None, options)
+    assert (fast.rows == slow.rows).all() and (fast.edges == slow.edges).all() and set(fast.rows) == set(range(len(rows)))
+    assert np.abs(fast.logl - slow.logl).max() < 1e-5
+    hot = tables.hot(codes)
+    assert sum(len(own) for own, _ in hot) == len(rows) - 1
+    found = [tables.edges[e].thorough(h)[3] for _, h in hot for e in range(reference.tree.n_edges)]
+    assert np.concatenate(found).mean() > 0.95  # or nothing would be gained
+
+
+def test_large_references_have_no_surfaces(reference, monkeypatch):
+    monkeypatch.setattr(surfaces, "MAX_BYTES", 1)
+    assert Surfaces.of(reference, reference.lookup()) is None
+
+
+@pytest.mark.parametrize("by_sum", [False, True])
+def test_finished_as_columns(spark, reference, by_sum):
+    options = placement.Options(by_sum=by_sum, support_threshold=0.9 if by_sum else 0.01, filter_max=5)
+    rows = inputs.alignment(spark, SF).select("seq_id", "label", "sites").where("seq_id < 50000000")
+    named = rows.withColumn("names", F.array("label"))
+    p = placement.filtered(placement.weighted(F.col("p")), options)
+    want = placement.candidates(named, reference, options).withColumn("p", p).withColumn("p", placement.rooted(F.col("p"), reference))
+    got = placement.place(rows, reference, options, collapse=False)
+    want, got = ({r["seq_id"]: [tuple(x) for x in r["p"]] for r in d.collect()} for d in (want, got))
+    assert want.keys() == got.keys()
+    for k, p in want.items():
+        assert [x[0] for x in p] == [x[0] for x in got[k]] and np.array(p) == pytest.approx(np.array(got[k]), abs=1e-9)
+
+
+def test_alignment_of_odd_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "PIECE", 128)
+    texts = ["aZ" * 150, "", None, "ä1 é\n", "é" * 70 + "Bc", "x" * 64, "y" * 65]
+    spark.createDataFrame(list(enumerate(texts, 3)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    bases = dict(zip(inputs.LETTERS + inputs.LETTERS.lower(), inputs.BASES * 2))
+    want = []
+    for k, text in enumerate(texts, 3):
+        letters = "".join(bases.get(c, "") for c in text or "")
+        want += [(k * inputs.CHUNKS + a // 64, k, f"d{k}", letters[a : a + 64].ljust(64, "-")) for a in range(0, len(letters), 64)]
+    assert sorted(map(tuple, inputs.alignment(spark, str(tmp_path)).collect())) == want
